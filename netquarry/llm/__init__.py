@@ -1 +1 @@
-"""llm of netquarry."""
+"""Operators for large-scale training data; nothing else in the library imports this package."""
