@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.core import read
-from netquarry.llm import components, leakage
+from netquarry.llm import components, leakage, redact
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +27,13 @@ def p7_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).filter("score >= 16").select("item_id", "doc_id", F.round("score", 3).alias("score"), "run")
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_edited": p7_edited}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact.find(read(spark, sf_dir, "documents")).select("doc_id", "pii_kind", "found_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact.redact(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_edited": p7_edited, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLE_SQL: dict[str, str] = {}
