@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.core import read
-from netquarry.llm import components, leakage, redact
+from netquarry.llm import components, leakage, mixing, redact
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p7_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).filter("score >= 16").select("item_id", "doc_id", F.round("score", 3).alias("score"), "run")
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_target"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_target"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.find(read(spark, sf_dir, "documents")).select("doc_id", "pii_kind", "found_text").distinct()
 
@@ -35,5 +43,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redact(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_edited": p7_edited, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_edited": p7_edited, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLE_SQL: dict[str, str] = {}
