@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netquarry.plans import problems
+from netquarry.plans import activity_queries, problems
+
+MODULES = (problems, activity_queries)
 
 
 def queries():
-    return dict(problems.QUERIES)
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.ORACLE_SQL)
+    return {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p1_found(spark, sf_dir)
+    return activity_queries.QUERIES["toggle_sweep_hopping"](spark, sf_dir)
