@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n"
@@ -60,6 +60,18 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def numbered(df: DataFrame, by: list[str], name: str = "n", start: int = 1) -> DataFrame:
+    """df with consecutive numbers in the order of distinct keys `by`: range partitions are numbered each by itself, after as many as
+    the ones before hold."""
+    p = materialise(df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()), "numbered")
+    before, front = start, []
+    for r in sorted(p.groupBy("_p").count().collect()):  # a row per partition
+        front.append((r[0], before))
+        before += r[1]
+    front_df = F.broadcast(df.sparkSession.createDataFrame(front, "_p int, _front long"))
+    return p.join(front_df, "_p").withColumn(name, F.col("_front") + F.row_number().over(Window.partitionBy("_p").orderBy(*by)) - 1).drop("_p", "_front")
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 20_000) -> tuple[DataFrame, bool]:
     """df with a broadcast hint if it is counted to hold at most most_rows; the count reads no more than most_rows + 1."""
     if df.limit(most_rows + 1).count() <= most_rows:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netquarry.plans import activity_queries, library_queries, problems
+from netquarry.plans import activity_queries, format_queries, geometry_queries, library_queries, problems
 
-MODULES = (problems, activity_queries, library_queries)
+MODULES = (problems, activity_queries, library_queries, geometry_queries, format_queries)
 
 
 def queries():
