@@ -115,6 +115,7 @@ def _route(words: list[str], scale: float, special: bool) -> tuple[list[tuple],
             if t == "RECT":  # a patch in parentheses, no point
                 while k < len(words) and words[k] != ")":
                     k += 1
+            last = None if t == "+" else last  # what follows are properties, not vias
             k += 1 + (t == "MASK")
             continue
         if t == "(":
@@ -136,8 +137,6 @@ def _route(words: list[str], scale: float, special: bool) -> tuple[list[tuple],
             continue
         if last is not None and t not in ("+", "USE") and _int(t) is None:
             vias.append((layer, last[0] / scale, last[1] / scale, t))
-        if t == "+":
-            last = None
         other += t != "+"
         k += 1
     return segs, vias, other, {rule}

@@ -136,11 +136,12 @@ def write(tables: dict[str, DataFrame], design: str = "top") -> DataFrame:
     k = nets.select("net", "no")
     conn = tables["conn"].join(k, "net").select("no", F.col("seq").alias("o"), F.concat(F.when(F.col("is_port"), "*P ").otherwise("*I "), tx("node"), F.lit(" "), F.col("dir"), F.when(F.col("cap_ff") > 0, F.concat(F.lit(" *L "), number("cap_ff"))).otherwise("")).alias("line"))
     g = tables["gcap"].join(k, "net").select("no", F.col("ord").alias("o"), F.concat(tx("node"), F.lit(" "), number("c")).alias("line"))
-    cc = tables["cc"]
+    # a pair is one capacitor however often and whichever way round it is listed: the first listing counts
+    cc = tables["cc"].groupBy(F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")).agg(F.min_by("cc", "ord").alias("cc")).toDF("a", "b", "cc")
     own = owners(tables).select("node", "net")
     both = cc.join(own.select(F.col("node").alias("a"), F.col("net").alias("_a")), "a", "left").join(own.select(F.col("node").alias("b"), F.col("net").alias("_b")), "b", "left")
     both = both.withColumn("net", F.explode(F.array_distinct(F.array(F.coalesce("_a", F.substring_index("a", ":", 1)), F.coalesce("_b", F.substring_index("b", ":", 1))))))
-    c = both.join(k, "net").select("no", F.col("ord").alias("o"), F.concat(tx("a"), F.lit(" "), tx("b"), F.lit(" "), number("cc")).alias("line"))
+    c = both.join(k, "net").select("no", F.lit(0).cast("long").alias("o"), F.concat(tx("a"), F.lit(" "), tx("b"), F.lit(" "), number("cc")).alias("line"))
     r = tables["res"].join(k, "net").select("no", F.col("ord").alias("o"), F.concat(tx("a"), F.lit(" "), tx("b"), F.lit(" "), number("r")).alias("line"))
     big = 1 << 40
     body = nets.select("no", F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), x.alias("line")) for k, x in ((0, F.concat(F.lit("*D_NET *"), F.col("no").cast("string"), F.lit(" "), number("cap_ff"))), (big, F.lit("*CONN")), (2 * big, F.lit("*CAP")), (3 * big, F.lit("*RES")), (4 * big, F.lit("*END")))])))
