@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquarry.core import materialise
 from netquarry.operators.activity import carried
 
 UNITS = {"s": 1.0, "ms": 1e-3, "us": 1e-6, "ns": 1e-9, "ps": 1e-12, "fs": 1e-15}
@@ -79,7 +80,8 @@ def scan(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     b = body.filter((F.col("seq") > F.col("_end")) & ~F.startswith("line", F.lit("$")))
     t = b.select("src_id", "seq", F.posexplode(F.regexp_extract_all("line", F.lit(token), 1)).alias("_p", "t"))
     t = t.withColumn("seq", F.col("seq") * 1024 + F.col("_p"))
-    t = t.withColumn("_now", F.when(F.startswith("t", F.lit("#")), F.substring("t", 2, 40).try_cast("double")))
+    # read several times below, so the tokens are written once
+    t = materialise(t.withColumn("_now", F.when(F.startswith("t", F.lit("#")), F.substring("t", 2, 40).try_cast("double"))), "tokens")
     t = carried(t, ["src_id"], "seq", F.col("_now"), "tick", 1 << 26)
     first = F.lower(F.substring("t", 1, 1))
     kind = F.when(first == "b", "vector").when(first == "r", "real").when(first == "s", "string").otherwise("scalar")
