@@ -76,7 +76,24 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p2_intervals": p2_intervals, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found, "p5_converted": p5_converted, "p6_found": p6_found, "p6_report": p6_report}
 
 
+_SLOTS_SQL = """WITH s AS (SELECT dump_id, max(step_s) AS s FROM act_dump GROUP BY 1),
+w AS (SELECT DISTINCT dump_id, sig_path, from_s AS f, to_s AS t, s FROM sweep_window JOIN s USING (dump_id) WHERE from_s IS NOT NULL AND to_s IS NOT NULL AND toggles IS NOT NULL AND to_s > from_s AND toggles >= 0),
+c AS (SELECT DISTINCT dump_id, sig_path, k FROM (SELECT *, unnest(range(greatest(0, CAST(floor(f / s) AS BIGINT) - 1), CAST(ceil(t / s) AS BIGINT) + 2)) AS k FROM w) WHERE (k + 0.5::DOUBLE) * s >= f AND (k + 0.5::DOUBLE) * s < t),
+b AS (SELECT dump_id, sig_path, min(k) AS lo, max(k) AS hi FROM c GROUP BY 1, 2), g AS (SELECT dump_id, sig_path, unnest(range(lo, hi + 1)) AS slot FROM b)
+"""
+_TREE_SQL = r"""WITH RECURSIVE m AS (SELECT src_id, CASE WHEN fmt = 'sp' THEN lower(n) ELSE n END AS k, min(n) AS n FROM (SELECT src_id, fmt, rtrim(replace(module_name, '\', '')) AS n FROM nl_module) GROUP BY 1, 2),
+f AS (SELECT DISTINCT src_id, fmt FROM nl_module),
+r AS (SELECT src_id, cell AS c, parent_name AS p FROM nl_inst UNION ALL SELECT src_id, model, subckt FROM sp_device WHERE upper(kind) = 'X'),
+q AS (SELECT DISTINCT src_id, CASE WHEN fmt = 'sp' THEN lower(c) ELSE c END AS c, CASE WHEN fmt = 'sp' THEN lower(p) ELSE p END AS p FROM (SELECT r.src_id, fmt, rtrim(replace(c, '\', '')) AS c, rtrim(replace(p, '\', '')) AS p FROM r JOIN f USING (src_id))),
+l AS (SELECT q.src_id, c, min(p) AS p FROM q JOIN m a ON a.src_id = q.src_id AND a.k = c JOIN m b ON b.src_id = q.src_id AND b.k = p GROUP BY 1, 2),
+t(src_id, k, root, depth, path, above) AS (SELECT m.src_id, m.k, m.n, 0, m.n, CAST([] AS VARCHAR[]) FROM m LEFT JOIN l ON l.src_id = m.src_id AND l.c = m.k WHERE l.c IS NULL
+  UNION ALL SELECT m.src_id, m.k, t.root, t.depth + 1, t.path || '/' || m.n, list_append(t.above, t.k) FROM t JOIN l ON l.src_id = t.src_id AND l.p = t.k JOIN m ON m.src_id = l.src_id AND m.k = l.c),
+b AS (SELECT src_id, a AS k, count(*) AS n FROM (SELECT src_id, unnest(above) AS a FROM t) GROUP BY 1, 2)
+"""
+
 ORACLE_SQL = {
+    "p1_found": _SLOTS_SQL + "SELECT g.dump_id, g.sig_path, g.slot FROM g LEFT JOIN c ON c.dump_id = g.dump_id AND c.sig_path = g.sig_path AND c.k = g.slot WHERE c.k IS NULL",
+    "p2_found": _TREE_SQL + "SELECT m.src_id, m.n AS module_name, coalesce(t.root, '') AS root_name, CAST(coalesce(t.depth, -1) AS BIGINT) AS node_depth, CAST(CASE WHEN t.k IS NULL THEN -1 ELSE coalesce(b.n, 0) END AS BIGINT) AS n_below, coalesce(t.path, '') AS full_path FROM m LEFT JOIN t ON t.src_id = m.src_id AND t.k = m.k LEFT JOIN b ON b.src_id = m.src_id AND b.k = m.k",
     "p6_found": r"""
 WITH m AS (SELECT src_id, fmt, rtrim(replace(module_name,'\',''), chr(32)||chr(9)||chr(13)||chr(10)) AS n, min(loaded_at) AS at FROM nl_module GROUP BY ALL),
 i AS (SELECT DISTINCT inst_id, src_id, rtrim(replace(cell,'\',''), chr(32)||chr(9)||chr(13)||chr(10)) AS k, loaded_at AS t FROM nl_inst
