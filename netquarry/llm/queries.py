@@ -44,4 +44,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_edited": p7_edited, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
-ORACLE_SQL: dict[str, str] = {}
+_GRAMS = "SELECT DISTINCT {key}, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM {table}) WHERE len(w) >= 12)"
+ORACLE_SQL: dict[str, str] = {
+    "p7_found": f"WITH d AS ({_GRAMS.format(key='doc_id', table='documents')}), i AS ({_GRAMS.format(key='item_id', table='eval_item')}) SELECT DISTINCT item_id, doc_id FROM d JOIN i USING (g)",
+}
