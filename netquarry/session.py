@@ -17,7 +17,7 @@ KINDS = {"v": "netlist", "sv": "netlist", "vg": "netlist", "json": "netlist_json
 PARSERS = {"netlist": (verilog.parse, verilog.SCHEMA, verilog), "liberty": (liberty.parse, liberty.SCHEMA, liberty), "sdc": (sdc.parse, sdc.SCHEMA, sdc), "lef": (lef.parse, lef.SCHEMA, lef), "def": (layout.parse, layout.SCHEMA, layout)}
 #: The record arrays of each kind that become tables, and the count that its step reports.
 TABLES = {
-    "netlist": (["ports", "insts", "conns", "aliases"], "insts"), "liberty": (["cells", "pins", "arcs", "constraints"], "cells"), "sdc": (["clocks", "io_delays", "exceptions", "groups", "ignored"], "clocks"),
+    "netlist": (["ports", "insts", "conns", "aliases"], "insts"), "liberty": (["cells", "pins", "arcs", "constraints", "receivers", "ccs"], "cells"), "sdc": (["clocks", "io_delays", "exceptions", "groups", "ignored"], "clocks"),
     "lef": (["layers", "macros", "pins", "vias", "units"], "macros"), "def": (["nets", "net_pins", "segs", "via_points", "pnets", "psegs", "comps", "pins", "pin_rects", "via_defs", "rules"], "nets"),
 }
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 _TOKEN = re.compile(r'#[^\n]*|"[^"]*"|;|\n|[^\s;"]+')
 SCHEMA = (
     "layers:array<struct<layer:string,routing:boolean,width_um:double,thickness_um:double,rpersq:double,cpersqdist:double,edge_cap:double,cut_res:double,dc_jmax:double,ac_rms:double,ac_peak:double,routing_ord:bigint>>,"
@@ -123,3 +126,16 @@ def parse(text: str) -> dict:
     if not layers and not macros:
         raise ValueError("neither layers nor macros")
     return {"layers": list(layers.values()), "macros": list(macros.values()), "pins": [{"macro": m, "pin": p, "direction": d} for (m, p), d in pins.items()], "vias": [{"via": v, "layers": x} for v, x in vias.items()], "units": units, "unknown": sorted(unknown)}
+
+
+def with_layer(rows: DataFrame, layers: DataFrame) -> DataFrame:
+    """rows (layer) with the layer's width_um and thickness_um, 0 where the layer is not known."""
+    known = layers.groupBy("layer").agg(F.max("width_um").alias("width_um"), F.max("thickness_um").alias("thickness_um"))
+    j = rows.join(known, "layer", "left")
+    return j.withColumn("width_um", F.coalesce("width_um", F.lit(0.0))).withColumn("thickness_um", F.coalesce("thickness_um", F.lit(0.0)))
+
+
+def with_direction(rows: DataFrame, pins: DataFrame) -> DataFrame:
+    """rows (macro, pin) with the pin's direction, 'unknown' where it has none."""
+    j = rows.join(pins.select("macro", "pin", "direction"), ["macro", "pin"], "left")
+    return j.withColumn("direction", F.coalesce("direction", F.lit("unknown")))

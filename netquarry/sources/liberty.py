@@ -8,7 +8,9 @@ _T = "struct<index_1:array<double>,index_2:array<double>,`values`:array<array<do
 SCHEMA = (
     "name:string,voltage:double,thresholds:map<string,double>,cells:array<struct<cell:string,area:double,leakage_w:double,int_energy_j:double,is_seq:boolean,clock_pin:string,cell_footprint:string,async_reset_pins:array<string>>>,"
     "pins:array<struct<cell:string,pin:string,direction:string,capacitance:double,cap_f:double,is_clock:boolean,function:string>>,"
-    f"arcs:array<struct<cell:string,pin:string,related_pin:string,sense:string,ccs_declared:boolean,cell_rise:{_T},cell_fall:{_T},rise_transition:{_T},fall_transition:{_T}>>,"
+    f"arcs:array<struct<cell:string,pin:string,related_pin:string,sense:string,ccs_declared:boolean,cell_rise:{_T},cell_fall:{_T},rise_transition:{_T},fall_transition:{_T},sigma_rise:{_T},sigma_fall:{_T}>>,"
+    f"receivers:array<struct<cell:string,pin:string,c1_rise:{_T},c2_rise:{_T},c1_fall:{_T},c2_fall:{_T}>>,"
+    "ccs:array<struct<cell:string,pin:string,arc:bigint,edge:string,in_slew:double,out_cap:double,ref_time:double,time:array<double>,current:array<double>>>,"
     f"constraints:array<struct<cell:string,pin:string,kind:string,related_pin:string,rise:{_T},fall:{_T}>>"
 )
 _TOKEN = re.compile(r'/\*.*?\*/|//[^\n]*|\\\r?\n|"(?:[^"\\]|\\.|\\\n)*"|[{}();:,]|[^\s{}();:,"]+|\n', re.S)
@@ -113,7 +115,7 @@ def parse(text: str, skip_ccs: bool = False) -> dict:
     cells: dict[str, Group] = {g.args[0]: g for g in lib.of("cell") if g.args}
     if not cells:
         raise ValueError("no cells")
-    d: dict = {"name": (lib.args or [""])[0], "voltage": lib.num("nom_voltage", 1.8), "thresholds": {k: float(v) for k, v in lib.attrs.items() if "threshold" in k and _floats([v])}, "cells": [], "pins": [], "arcs": [], "constraints": []}
+    d: dict = {"name": (lib.args or [""])[0], "voltage": lib.num("nom_voltage", 1.8), "thresholds": {k: float(v) for k, v in lib.attrs.items() if "threshold" in k and _floats([v])}, "cells": [], "pins": [], "arcs": [], "constraints": [], "receivers": [], "ccs": []}
     for name, c in sorted(cells.items()):
         pins = {p: g for g in c.of("pin") for p in g.args}
         ff = (c.of("ff") + c.of("latch") or [None])[0]
@@ -137,6 +139,9 @@ def parse(text: str, skip_ccs: bool = False) -> dict:
         for p, g in sorted(pins.items()):
             direction = g.attrs.get("direction", "")
             d["pins"].append({"cell": name, "pin": p, "direction": direction if direction in ("input", "output", "inout") else "other", "capacitance": g.num("capacitance", 0.0), "cap_f": (g.num("capacitance", 0.0) or 0.0) * cap_f, "is_clock": g.attrs.get("clock") == "true", "function": g.attrs.get("function") or None})
+            for r in [] if skip_ccs else g.of("receiver_capacitance")[:1]:
+                seg = {f"c{k}_{e}": _table((r.of(f"receiver_capacitance{k}_{e}") or [None])[0]) for k in (1, 2) for e in ("rise", "fall")}
+                d["receivers"].append({"cell": name, "pin": p, **seg})
             for t in g.of("timing"):
                 kind = t.attrs.get("timing_type", "")
                 tab = lambda n, t=t: _table((t.of(n) or [None])[0])
@@ -144,5 +149,9 @@ def parse(text: str, skip_ccs: bool = False) -> dict:
                 if check:
                     d["constraints"].append({"cell": name, "pin": p, "kind": check, "related_pin": t.attrs.get("related_pin", ""), "rise": tab("rise_constraint"), "fall": tab("fall_constraint")})
                 elif not kind.startswith(("clear", "preset")) and "pulse_width" not in kind:
-                    d["arcs"].append({"cell": name, "pin": p, "related_pin": t.attrs.get("related_pin", ""), "sense": t.attrs.get("timing_sense", "non_unate"), "ccs_declared": not skip_ccs and bool(t.of("output_current_rise") or t.of("output_current_fall")), **{n: tab(n) for n in ("cell_rise", "cell_fall", "rise_transition", "fall_transition")}})
+                    d["arcs"].append({"cell": name, "pin": p, "related_pin": t.attrs.get("related_pin", ""), "sense": t.attrs.get("timing_sense", "non_unate"), "ccs_declared": bool(t.of("output_current_rise") or t.of("output_current_fall")), **{n: tab(n) for n in ("cell_rise", "cell_fall", "rise_transition", "fall_transition")}, "sigma_rise": tab("ocv_sigma_cell_rise"), "sigma_fall": tab("ocv_sigma_cell_fall")})
+                    for edge in () if skip_ccs else ("rise", "fall"):
+                        for v in (x for c2 in t.of(f"output_current_{edge}") for x in c2.of("vector")):
+                            at, one = _floats(v.lists.get("index_3", [])), lambda key, v=v: (_floats(v.lists.get(key, [])) or [0.0])[0]
+                            d["ccs"].append({"cell": name, "pin": p, "arc": len(d["arcs"]) - 1, "edge": edge, "in_slew": one("index_1"), "out_cap": one("index_2"), "ref_time": v.num("reference_time", 0.0), "time": at, "current": _floats(v.lists.get("values", []))})
     return d

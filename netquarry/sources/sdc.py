@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from netquarry.operators.rejects import sdc_words
 
 # Commands that are not modelled though ignoring them can move a slack.
@@ -204,3 +207,13 @@ def covers(from_set: list[str], to_set: list[str], a: str, b: str) -> bool:
     """Whether an exception applies to a path: an empty set or * matches everything."""
     hit = lambda s, x: not s or "*" in s or x in s
     return hit(from_set, a) and hit(to_set, b)
+
+
+def covered(from_set: Column, to_set: Column, a: Column, b: Column) -> Column:
+    """covers() as an expression over exception rows and paths."""
+    hit = lambda s, x: (F.coalesce(F.size(s), F.lit(0)) <= 0) | F.array_contains(s, "*") | F.array_contains(s, x)
+    return hit(from_set, a) & hit(to_set, b)
+
+
+def is_virtual(source: Column) -> Column:
+    return F.coalesce(source, F.lit("")) == ""

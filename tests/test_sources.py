@@ -240,3 +240,28 @@ def test_sidecars(spark):
     assert t["seg"].first().r == 390.0 and t["ccap"].first().other == "other" and t["net"].count() == 2
     em = tables.em_geometry(lines(spark, "DESIGN x\nSEG n a b met1 0.1234567 2.50 3\nSEG short"))
     assert [r.line for r in tables.em_text(em).collect()] == ["SEG n a b met1 0.123457 2.5 3"]
+
+
+def test_library_currents_and_receivers(spark):
+    text = """library(l){ cell(a){ pin(Y){ direction : output; receiver_capacitance(){ receiver_capacitance1_rise(t){ values("1,2"); } }
+      timing(){ related_pin : "A"; ocv_sigma_cell_rise(t){ values("0.1"); } output_current_rise(){ vector(v){ reference_time : 0.5; index_1("0.1"); index_2("0.02"); index_3("0,1,2"); values("0,2,0"); } } }
+      timing(){ timing_type : setup_rising; rise_constraint(t){ values("0.3"); } } timing(){ timing_type : clear; } } } }"""
+    d = liberty.parse(text)
+    assert d["ccs"] == [{"cell": "a", "pin": "Y", "arc": 0, "edge": "rise", "in_slew": 0.1, "out_cap": 0.02, "ref_time": 0.5, "time": [0.0, 1.0, 2.0], "current": [0.0, 2.0, 0.0]}]
+    assert d["receivers"][0]["c1_rise"]["values"] == [[1.0, 2.0]] and d["receivers"][0]["c2_fall"] is None and d["arcs"][0]["sigma_rise"]["values"] == [[0.1]]
+    assert len(d["arcs"]) == 1 and [c["kind"] for c in d["constraints"]] == ["setup"]
+    less = liberty.parse(text, skip_ccs=True)
+    assert less["ccs"] == [] and less["receivers"] == [] and less["arcs"] == d["arcs"]
+    rows = spark.createDataFrame([(1, text)], "src_id long, text string")
+    from netquarry.sources import units_of_text as U
+
+    got = U.table(U.scan(rows, liberty.parse, liberty.SCHEMA), "ccs").first()
+    assert got.time == [0.0, 1.0, 2.0]
+    p = lef.parse("LAYER m\n TYPE ROUTING ;\n WIDTH 0.2 ;\n THICKNESS 0.3 ;\nEND m\nMACRO c\n PIN a\n DIRECTION INPUT ;\n PORT\n LAYER m ;\n RECT 0 0 1 1 ;\n END\n END a\nEND c\n")
+    la = spark.createDataFrame([(x["layer"], x["width_um"], x["thickness_um"]) for x in p["layers"]], "layer string, width_um double, thickness_um double")
+    assert {tuple(r) for r in lef.with_layer(spark.createDataFrame([("m",), ("n",)], "layer string"), la).collect()} == {("m", 0.2, 0.3), ("n", 0.0, 0.0)}
+    pins = spark.createDataFrame([(x["macro"], x["pin"], x["direction"]) for x in p["pins"]], "macro string, pin string, direction string")
+    assert {r.direction for r in lef.with_direction(spark.createDataFrame([("c", "a"), ("c", "b")], "macro string, pin string"), pins).collect()} == {"input", "unknown"}
+    e = spark.createDataFrame([(["*"], ["x"]), ([], ["y"]), (["a"], ["x"])], "f array<string>, t array<string>")
+    assert [r[0] for r in e.select(sdc.covered(F.col("f"), F.col("t"), F.lit("b"), F.lit("x"))).collect()] == [True, False, False]
+    assert sdc.covers(["*"], ["x"], "b", "x") and not sdc.covers([], ["y"], "b", "x")
