@@ -1,5 +1,9 @@
 """Pairwise matches consolidated into groups: connected components by alternating large-star and small-star.
 
+The steps are first run inside each task, on the pairs it reads: every record it saw is linked to the smallest one it can reach
+there. Records that several tasks saw tie the roots found for them together, and what is shuffled in rounds is only that graph of
+roots; if the pairs of a group lie near each other it is small, if not it is no larger than the pairs.
+
 Edges are kept as (child, parent) with child > parent. A large-star step links every child to the smallest parent of its parent, a
 small-star step links a child and all its parents to its smallest parent; both are joins with one minimum per node. The steps
 alternate until no edge changes; then every record is linked to the smallest identifier of its component.
@@ -10,10 +14,62 @@ empty table gives no rows; identifiers are compared in byte order; extra columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.core import canon, materialise, release
+from netquarry.core import canon, materialise, release, salted_join
+
+CHUNK = 1_000_000  # pairs that a task links at once
+
+
+def _link(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each distinct record of the pairs with the smallest record it is linked to by them."""
+    both = pa.chunked_array([a, b]).combine_chunks().dictionary_encode()
+    names = both.dictionary
+    order = pc.sort_indices(names).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ends = rank[both.indices.to_numpy()]
+    u, v = ends[: len(a)], ends[len(a) :]
+    parent = np.arange(len(order))
+    while True:
+        pu, pv = parent[u], parent[v]
+        least = np.minimum(pu, pv)
+        new = parent.copy()
+        np.minimum.at(new, pu, least)  # large-star: roots to the smallest root beside them
+        np.minimum.at(new, pv, least)
+        while True:  # small-star: everything to the parent of its parent
+            up = new[new]
+            if (up == new).all():
+                break
+            new = up
+        if (new == parent).all():
+            break
+        parent = new
+    ranked = names.take(pa.array(order))
+    return ranked, ranked.take(pa.array(parent))
+
+
+def _here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        node, root = _link(*(t.column(c).combine_chunks() for c in ("a", "b")))
+        return pa.RecordBatch.from_arrays([node, root], names=["node", "root"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            yield out()
+            held = []
+    if sum(x.num_rows for x in held):
+        yield out()
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -37,8 +93,13 @@ def _state(edges: DataFrame, minima: DataFrame) -> tuple:
 
 def components(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
     """pairs (a, b) -> (node, component), component being the smallest node of the group."""
-    pairs = materialise(pairs.filter("a is not null and b is not null").select("a", "b").distinct(), "pairs")
-    edges = materialise(_edges(pairs), "edges")
+    stars = pairs.filter("a is not null and b is not null").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).mapInArrow(_here, "node string, root string")
+    stars = materialise(stars, "stars")
+    own = materialise(stars.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("last")), "own")
+    # a record with several roots ties them to the smallest
+    split = own.filter("root <> last").select("node", F.col("root").alias("b"))
+    tied = salted_join(stars, split, ["node"], salts=4, by=F.col("root")).select(F.col("root").alias("a"), "b")
+    edges = materialise(_edges(tied), "edges")
     for _ in range(most_rounds):
         m = _minima(edges, "large")
         if _state(edges, m):
@@ -56,8 +117,8 @@ def components(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
         release(large)
     else:
         raise RuntimeError(f"not settled after {most_rounds} rounds")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return nodes.join(m.select(F.col("child").alias("node"), "m"), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
+    top = m.select(F.col("child").alias("root"), "m")
+    return salted_join(own.select("node", "root"), top, ["root"], "left", salts=4, by=F.col("node")).select("node", F.coalesce("m", "root").alias("component"))
 
 
 def net_groups(nl_alias: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from netquarry.llm import components as C
 
 
@@ -28,14 +30,20 @@ def run(spark, pairs):
     return {r.node: r.component for r in got}
 
 
-def test_shapes(spark):
+@pytest.mark.parametrize("chunk", [1_000_000, 7])
+def test_shapes(spark, monkeypatch, chunk):
+    monkeypatch.setattr(C, "CHUNK", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(chunk, 10_000))
     rnd = random.Random(2)
     n = lambda k: f"n{k:03d}"
     pairs = [(n(k), n(k + 1)) for k in range(60)] + [(n(100), n(k)) for k in range(101, 160)] + [(n(k), n(299)) for k in range(200, 260)]
     pairs += [(n(rnd.randrange(400, 500)), n(rnd.randrange(400, 500))) for _ in range(60)] + [(n(700), n(700)), (None, n(1)), (n(1), None)]
     pairs += pairs[:30] + [(b, a) for a, b in pairs[:30]]
     rnd.shuffle(pairs)
-    assert run(spark, pairs) == brute(pairs)
+    try:
+        assert run(spark, pairs) == brute(pairs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_empty_and_self(spark):
