@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text.
 
-Word n-grams of the items seed the search: of each window of `passage` words of an item the n-gram rarest in the corpus is a seed,
-so a document that holds the window also holds the seed, whatever else is common. Around each seed that a document holds, item and
-document are aligned by Smith-Waterman; the score tells edited copies, and the longest run of equal words on the alignment tells
-passages that are copied outright.
+Word n-grams of the items seed the search. Every n-gram of an item is a seed: an edited copy lacks the n-grams across its edits, so
+whichever n-grams were picked, a copy could lack just those. Around each seed that a document holds, item and document are aligned by
+Smith-Waterman; the score tells edited copies, and the longest run of equal words on the alignment tells passages that are copied
+outright. A document without n words of an item in a row is not aligned with it.
 
 Words are maximal runs of ASCII letters and digits in lower case. Defined results: null and empty texts hold no words; an item with
 fewer than `passage` words has no seeds; repeated rows count once; whole texts of any length are used; an empty table on either side
@@ -19,8 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.core import materialise
-
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122) else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,34 +110,13 @@ def leaks(items: DataFrame, documents: DataFrame, passage: int = 12, n: int = 6,
     held = spark.sparkContext.broadcast(vars(it))  # plain values: a broadcast is unpickled without this package
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Items.of(held.value)
-        for b in batches:
-            grams, keep = [], []
-            for k, t in enumerate(b.column("text").to_pylist()):
-                _, g = own.hits(own.document(t))
-                if len(g):
-                    keep.append(k)
-                    grams.append(np.unique(g))
-            got = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column("doc_id"), got.column("text"), pa.array([x.tolist() for x in grams], pa.list_(pa.int64()))], names=["doc_id", "text", "grams"])
-
-    # the documents with some n-gram of an item, and how many documents hold each n-gram
-    some = materialise(docs.mapInArrow(hits, "doc_id long, text string, grams array<long>"), "seeded")
-    freq = np.zeros(len(it.table), np.int64)
-    for g, c in some.select(F.explode("grams").alias("g")).groupBy("g").count().collect():  # at most one row per n-gram of the items
-        freq[g] = c
     places: dict[int, list[tuple[int, int]]] = {}
     for item, ids in it.ids.items():
         if len(ids) < passage:
             continue
-        k = np.searchsorted(it.table, _grams(ids, n))
-        w = passage - n + 1
-        for s in range(len(k) - w + 1):
-            # of equally rare n-grams the smallest, so that windows share their seeds
-            at = s + min(range(w), key=lambda j: (freq[k[s + j]], k[s + j]))
-            places.setdefault(int(k[at]), []).append((item, at))
-    seeds = spark.sparkContext.broadcast({g: sorted(set(v)) for g, v in places.items()})
+        for q, k in enumerate(np.searchsorted(it.table, _grams(ids, n)).tolist()):
+            places.setdefault(k, []).append((item, q))
+    seeds = spark.sparkContext.broadcast(places)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, where = Items.of(held.value), seeds.value
@@ -159,7 +136,7 @@ def leaks(items: DataFrame, documents: DataFrame, passage: int = 12, n: int = 6,
                         key = (doc, item, (p - q) // slack)
                         old = jobs.get(key)
                         jobs[key] = (min(lo, old[0]), max(hi, old[1])) if old else (lo, hi)
-                texts[doc] = ids
+                        texts[doc] = ids
             todo = sorted(jobs, key=lambda j: (len(own.ids[j[1]]), jobs[j][1] - jobs[j][0]))
             out: list[tuple[int, int, int, float, int]] = []
             for s in range(0, len(todo), 256):
@@ -175,5 +152,5 @@ def leaks(items: DataFrame, documents: DataFrame, passage: int = 12, n: int = 6,
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64())], names=["item_id", "doc_id", "at", "score", "run"])
 
-    got = some.select("doc_id", "text").mapInArrow(align, "item_id long, doc_id long, at long, score double, run long")
+    got = docs.mapInArrow(align, "item_id long, doc_id long, at long, score double, run long")
     return got.groupBy("item_id", "doc_id").agg(F.max("score").alias("score"), F.max("run").alias("run"), F.min("at").alias("first_word"))

@@ -46,6 +46,19 @@ def test_edited_copy_scores(spark):
     assert len(got) == 1 and got[0].score == 58 - 1 - 1 and got[0].run == 20
 
 
+def test_copy_with_an_edit_in_every_window(spark):
+    items, docs, want = [], [], {}
+    for gap in (8, 9, 10, 11):  # each item has one copy, so what its edits broke stands in no document
+        item = [f"item{gap}word{k}" for k in range(100)]
+        copy = ["new" if k % gap == gap - 1 else w for k, w in enumerate(item)]
+        items.append((gap, " ".join(item)))
+        docs.append((gap, " ".join(copy), 0.0))
+        score, run = L._align(np.array([range(100)]), np.array([[-1 if w == "new" else k for k, w in enumerate(copy)]]), 1.0, 1.0, 1.0)
+        want[gap, gap] = (score[0], run[0])
+    got = L.leaks(spark.createDataFrame(items, ITEM), spark.createDataFrame(docs, DOC)).collect()
+    assert {(r.item_id, r.doc_id): (r.score, r.run) for r in got} == want and all(score >= 16 and run < 12 for score, run in want.values())
+
+
 def test_alignment_equals_plain_smith_waterman():
     rnd = random.Random(1)
     a = [[rnd.randrange(4) for _ in range(9)] for _ in range(30)]
