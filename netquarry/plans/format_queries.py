@@ -20,9 +20,9 @@ def _join(df: DataFrame, key: str, line, order: str, head="", tail="", sep: str
     return t.select(F.col(key).alias("src_id"), F.concat(F.lit(head) if isinstance(head, str) else head, F.array_join(F.col("x.l"), sep), F.lit(tail) if isinstance(tail, str) else tail).alias("text"))
 
 
-def verilog_conns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _verilog_conns(li: DataFrame) -> DataFrame:
     """A module for each order, an instance for each line: a bus bit, an escaped name and a constant are connected."""
-    li = read(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     inst = F.format_string("  P%d u%d_%d_%d (.A(a[%d]), .B(1'b0), .Y(\\n%d.y ), .C({a[7:6], b}));", "l_partkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linenumber") % 8, "l_suppkey")
     files = _join(li, "l_orderkey", inst, "l_linenumber", "/* P9 x(.A(b)); */ module m (input [7:0] a, input b); // head\n", "\nendmodule\n")
     p = units_of_text.scan(files, verilog.parse, verilog.SCHEMA)
@@ -31,6 +31,14 @@ def verilog_conns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("src_id").alias("l_orderkey"), "cell", "name", "pin", "net")
 
 
+def verilog_conns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verilog_conns(read(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"))
+
+
+def verilog_conns_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verilog_conns(read(spark, sf_dir, "lineitem"))
+
+
 def yosys_conns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module for each region, a cell for each nation; nets and ports share bit numbers."""
     n = read(spark, sf_dir, "nation")
@@ -41,9 +49,8 @@ def yosys_conns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t["conn"].join(t["inst"].select("src_id", "inst", "cell"), ["src_id", "inst"]).select(F.col("src_id").alias("n_regionkey"), "inst", "cell", "pin", "net")
 
 
-def sdc_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sdc_exceptions(s: DataFrame) -> DataFrame:
     """False and multicycle paths from suppliers to nations' pins, and which of them cover each supplier."""
-    s = read(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0")
     line = F.when(F.col("s_suppkey") % 3 == 0, F.format_string("set_false_path -from [get_cells {s%d s%d}] -to [get_pins n%d/Q]", "s_suppkey", F.col("s_suppkey") + 1, "s_nationkey")).otherwise(F.format_string("set_multicycle_path %d -from [get_ports s%d] \\\n  -to [all_outputs]", F.col("s_suppkey") % 5 + 1, "s_suppkey"))
     files = _join(s, "s_nationkey", line, "s_suppkey", "# head\nset_driving_cell x; ")
     p = units_of_text.scan(files, sdc.parse, sdc.SCHEMA)
@@ -51,6 +58,14 @@ def sdc_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("src_id").alias("s_nationkey"), "kind", F.coalesce("mult", F.lit(0)).alias("mult"), F.array_join("from_set", ",").alias("from_set"), F.array_join("to_set", ",").alias("to_set"))
 
 
+def sdc_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sdc_exceptions(read(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0"))
+
+
+def sdc_exceptions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sdc_exceptions(read(spark, sf_dir, "supplier"))
+
+
 def sdc_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that are not modelled, and whether ignoring them can move a slack."""
     e = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
@@ -125,18 +140,24 @@ def def_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("net").agg(F.count("*").alias("n_segs"), F.round(F.sum("len_um"), 6).alias("len_um"), F.count_if("is_horizontal").alias("n_horizontal"), F.round(F.sum((F.col("fx1") - F.col("fx0")) * (F.col("fy1") - F.col("fy0"))), 6).alias("area"))
 
 
-def def_pins_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _def_pins_oriented(p: DataFrame) -> DataFrame:
     """Parts as placed pins in all eight orientations."""
-    p = read(spark, sf_dir, "part").filter("p_size <= 20")
     o = F.element_at(F.array(*[F.lit(x) for x in ("N", "S", "W", "E", "FN", "FS", "FW", "FE")]), (F.col("p_partkey") % 8 + 1).cast("int"))
     line = F.format_string("- p%d + NET n%d + DIRECTION INPUT + USE POWER + LAYER met2 ( -10 0 ) ( %d 40 ) + PLACED ( %d 500 ) %s ;", "p_partkey", "p_partkey", "p_size", F.col("p_partkey") * 10, o)
     parsed = units_of_text.scan(_join(p, "p_size", line, "p_partkey", "PINS 1 ;\n", "\nEND PINS\n"), layout.parse, layout.SCHEMA)
     return layout.placed(units_of_text.table(parsed, "pins").drop("ord"), units_of_text.table(parsed, "pin_rects").drop("ord")).select("pin", "x1", "y1", "x2", "y2")
 
 
-def liberty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def def_pins_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _def_pins_oriented(read(spark, sf_dir, "part").filter("p_size <= 20"))
+
+
+def def_pins_oriented_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _def_pins_oriented(read(spark, sf_dir, "part"))
+
+
+def _liberty_cells(p: DataFrame) -> DataFrame:
     """A library for each brand, parts as cells with states of leakage, a table and two pins; the table is looked up."""
-    p = read(spark, sf_dir, "part").filter("p_size <= 10")
     cell = F.format_string(
         'cell (c%d) { area : %d; cell_footprint : "f%d"; leakage_power () { when : "A"; value : %d; } leakage_power () { value : 3; } ff (q, qn) { clear : "!R"; }\n pin (R) { direction : input; capacitance : 0.%d; }\n'
         ' pin (Y) { direction : output; function : "!A"; /* x { */ timing () { related_pin : "R"; cell_rise (t) { index_1 ("0, 10"); index_2 ("0, 1"); values ("0, 5", \\\n "%d, %d"); } } } }',
@@ -149,6 +170,14 @@ def liberty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(t, ["src_id", "cell"]).select("cell", "area", F.round(F.col("leakage_w") * 1e9, 6).alias("leakage_nw"), "is_seq", "cell_footprint", F.array_join("async_reset_pins", ",").alias("resets"), F.round("delay", 6).alias("delay"))
 
 
+def liberty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _liberty_cells(read(spark, sf_dir, "part").filter("p_size <= 10"))
+
+
+def liberty_cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _liberty_cells(read(spark, sf_dir, "part"))
+
+
 def spice_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations call their region's subcircuit, which holds a transistor, a resistor and a call that stands for a transistor."""
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
@@ -191,11 +220,18 @@ def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", N.split_inst_pin(name)["inst"].alias("inst"), N.split_inst_pin(name)["pin"].alias("pin"), N.split_bit_select(bit)["base"].alias("base"), N.split_bit_select(bit)["bit"].alias("bit"), N.unescape(esc).alias("plain"), N.leaf_of(F.concat(F.lit("t.u."), k)).alias("leaf"), F.array_join(N.idents_in(F.concat(F.lit("!(A"), k, F.lit(" & 1) | b_c"))), ",").alias("idents"))
 
 
-def port_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part").filter("p_size <= 20")
+def _port_expand(p: DataFrame) -> DataFrame:
     return p.select("p_partkey", F.explode(N.expand_bits(F.lit("d"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("long")), F.lit(2).cast("long"))).alias("port"))
 
 
+def port_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _port_expand(read(spark, sf_dir, "part").filter("p_size <= 20"))
+
+
+def port_expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _port_expand(read(spark, sf_dir, "part"))
+
+
 def spice_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     suffix = F.element_at(F.array(*[F.lit(x) for x in ("k", "MEG", "u", "", "nF", "x1")]), (F.col("p_partkey") % 6 + 1).cast("int"))
@@ -214,6 +250,8 @@ QUERIES = {
     "verilog_conns": verilog_conns, "yosys_conns": yosys_conns, "sdc_exceptions": sdc_exceptions, "sdc_ignored": sdc_ignored, "spef_units_triplets": spef_units_triplets, "spef_health": spef_health, "spef_roundtrip": spef_roundtrip,
     "lef_layers": lef_layers, "def_segments": def_segments, "def_pins_oriented": def_pins_oriented, "liberty_cells": liberty_cells, "spice_flatten": spice_flatten, "em_by_net": em_by_net, "klayout_net": klayout_net,
     "name_parts": name_parts, "port_expand": port_expand, "spice_numbers": spice_numbers, "rc_from_spef": rc_from_spef,
+    # over whole tables; the queries of the same names without _all run on the slice that their SQL has
+    "verilog_conns_all": verilog_conns_all, "sdc_exceptions_all": sdc_exceptions_all, "def_pins_oriented_all": def_pins_oriented_all, "liberty_cells_all": liberty_cells_all, "port_expand_all": port_expand_all,
 }
 _F = "o AS (SELECT o_custkey AS c, o_orderkey AS o, floor(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F')"
 ORACLE_SQL = {

@@ -1,0 +1,21 @@
+"""The queries over whole tables, beside the SQL of their slices without its filter."""
+
+import pytest
+
+import __spark_entry__ as entry
+from tests.compare import compare
+
+SF = "/root/testdata/sf0.001"
+FILTERS = {
+    "verilog_conns": [(" WHERE l_orderkey % 10 = 0", "", 1)], "sdc_exceptions": [(" WHERE s_suppkey % 2 = 0", "", 1)], "def_pins_oriented": [(" WHERE p_size <= 20", "", 1)],
+    "liberty_cells": [(" WHERE p_size <= 10", "", 1)], "port_expand": [("p_size <= 20", "true", 2)],
+}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_whole_table(spark, name):
+    sql = entry.oracle_sql()[name]
+    for old, new, times in FILTERS[name]:
+        assert sql.count(old) == times
+        sql = sql.replace(old, new)
+    assert compare(spark, SF, name, entry.queries()[f"{name}_all"], sql) is None
