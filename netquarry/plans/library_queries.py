@@ -59,9 +59,9 @@ def pin_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("l_partkey", F.coalesce("p_size", F.lit(0)).alias("cap"), tied.alias("tied"), L.load_cap(F.col("p_size") - 40, F.lit(7)).alias("load"))
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with p_size up to 10 as cells: a third has a footprint, a seventh is sequential; pins follow the type."""
-    p = read(spark, sf_dir, "part").filter("p_size <= 10")
+def _cells(spark: SparkSession, sf_dir: str, which: str = "p_size <= 10") -> DataFrame:
+    """Parts as cells: a third has a footprint, a seventh is sequential; pins follow the type."""
+    p = read(spark, sf_dir, "part").filter(which)
     pins = p.select(F.col("p_partkey").alias("cell"), F.inline(F.array(F.struct(F.lit("A").alias("pin"), F.lit("input").alias("direction"), F.lit(None).cast("string").alias("function")), F.struct(F.lit("Y").alias("pin"), F.lit("output").alias("direction"), F.when(F.col("p_size") > 2, F.concat("p_type", F.col("p_size").cast("string"))).alias("function")))))
     c = p.select(F.col("p_partkey").alias("cell"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", "p_type")).alias("footprint"), (F.col("p_partkey") % 7 == 0).alias("is_seq"), F.col("p_retailprice").alias("area"))
     return c.join(L.signatures(pins), "cell")
@@ -79,6 +79,18 @@ def downsize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.downsizes(L.equivalents(_cells(spark, sf_dir))).select("cell", "other", "place")
 
 
+def cell_equivalence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.ladder(L.equivalents(_cells(spark, sf_dir, "true"))).select("cell", "other", "place")
+
+
+def upsize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.upsizes(L.equivalents(_cells(spark, sf_dir, "true"))).select("cell", "other", "place")
+
+
+def downsize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.downsizes(L.equivalents(_cells(spark, sf_dir, "true"))).select("cell", "other", "place")
+
+
 _CELL_SQL = """WITH c AS (SELECT p_partkey AS cell, CASE WHEN p_partkey % 3 = 0 THEN p_brand || p_type END AS fp, p_partkey % 7 = 0 AS seq, p_retailprice AS area, CASE WHEN p_size > 2 THEN p_type || p_size END AS f FROM part WHERE p_size <= 10),
 e AS (SELECT a.cell, b.cell AS other, a.area, b.area AS oa FROM c a JOIN c b ON a.cell = b.cell OR CASE WHEN a.fp IS NOT NULL AND b.fp IS NOT NULL THEN a.fp = b.fp WHEN a.seq OR b.seq THEN false ELSE coalesce(regexp_replace(a.f, '\\s', '', 'g') = regexp_replace(b.f, '\\s', '', 'g'), false) END)
 SELECT cell, other, row_number() OVER (PARTITION BY cell ORDER BY oa, other) AS place FROM e"""
@@ -109,13 +121,21 @@ def ccs_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.round(d["delay"], 6).alias("delay"), F.round(d["slew"], 6).alias("slew"))
 
 
-def nearest_waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part")
-    wf = p.filter("p_size <= 5").select(F.col("p_type").alias("arc"), F.col("p_partkey").alias("ord"), F.col("p_size").cast("double").alias("in_slew"), F.floor("p_retailprice").cast("double").alias("out_cap"))
-    pt = p.filter("p_size > 45").select(F.col("p_type").alias("arc"), F.col("p_partkey").alias("id"), (F.col("p_size") / 10.0).alias("slew"), F.floor("p_retailprice").cast("double").alias("load"))
+def _nearest_waveform(p: DataFrame, waveforms: str, points: str) -> DataFrame:
+    wf = p.filter(waveforms).select(F.col("p_type").alias("arc"), F.col("p_partkey").alias("ord"), F.col("p_size").cast("double").alias("in_slew"), F.floor("p_retailprice").cast("double").alias("out_cap"))
+    pt = p.filter(points).select(F.col("p_type").alias("arc"), F.col("p_partkey").alias("id"), (F.col("p_size") / 10.0).alias("slew"), F.floor("p_retailprice").cast("double").alias("load"))
     return L.nearest(pt, wf, ["arc"])
 
 
+def nearest_waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_waveform(read(spark, sf_dir, "part"), "p_size <= 5", "p_size > 45")
+
+
+def nearest_waveform_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is a waveform and a point."""
+    return _nearest_waveform(read(spark, sf_dir, "part"), "true", "true")
+
+
 def coverage_netlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are instances, parts below size 40 the library, flags name their pins."""
     li = read(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("inst"), F.col("l_partkey").alias("cell"), F.when(F.col("l_returnflag") == "A", "vdd_core").when(F.col("l_returnflag") == "N", "\\VNB").otherwise("A").alias("pin"))
@@ -195,6 +215,8 @@ def wire_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    # over all parts; the queries of the same names without _all run on the slice that their SQL has
+    "cell_equivalence_all": cell_equivalence_all, "upsize_all": upsize_all, "downsize_all": downsize_all, "nearest_waveform_all": nearest_waveform_all,
     "nldm_lookup": nldm_lookup, "constraint_eval": constraint_eval, "slew_span": slew_spans, "recv_load": receiver_load, "state_leakage": state_leakage, "internal_energy": internal_energy, "pin_caps": pin_caps,
     "cell_equivalence": cell_equivalence, "upsize": upsize, "downsize": downsize, "lib_merge": lib_merge, "ceff": ceffs, "ceff_fixpoint": ceff_fixpoint, "ccs_delay": ccs_delay, "nearest_waveform": nearest_waveform,
     "coverage_netlist": coverage_netlist, "coverage_library": coverage_library, "coverage_parasitics": coverage_parasitics, "top_module": top_module, "missing_pins": missing_pins,
