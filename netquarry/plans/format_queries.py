@@ -75,9 +75,9 @@ def sdc_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select(F.col("src_id").alias("user_id"), "command", F.col("command").isin(sdc.TIMING_AFFECTING).alias("affects")).distinct()
 
 
-def spef_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of mapped nets: customers with an order of status F; capacitors and resistors as triplets, in pF and kilo-ohm."""
-    o = read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("v"))
+def spef_lines(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = 'F'") -> DataFrame:
+    """A file of mapped nets: customers with an order that is taken; capacitors and resistors as triplets, in pF and kilo-ohm."""
+    o = read(spark, sf_dir, "orders").filter(which).select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("v"))
     c = o.groupBy("o_custkey").agg(F.sum("v").alias("t"))
     big = 1 << 32
     head = spark.createDataFrame([(0, "*SPEF x"), (1, "*c_unit 1 pf"), (2, "*R_UNIT 1 KOHM // x"), (3, "*NAME_MAP")], "seq long, line string")
@@ -94,20 +94,28 @@ def spef_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.unionByName(m).unionByName(blocks).unionByName(el).withColumn("src_id", F.lit(1).cast("long"))
 
 
-def spef_units_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spef.scan(spef_lines(spark, sf_dir))
+def spef_units_triplets(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = 'F'") -> DataFrame:
+    t = spef.scan(spef_lines(spark, sf_dir, which))
     g = t["gcap"].groupBy("net").agg(F.sum("c").alias("g"), F.count("*").alias("n_gcap"))
     r = t["res"].groupBy("net").agg(F.sum("r").alias("r"))
     return t["net"].join(g, "net", "left").join(r, "net", "left").select("net", "cap_ff", F.col("g").alias("gcap_ff"), "n_gcap", F.coalesce("r", F.lit(0.0)).alias("res_ohm"))
 
 
-def spef_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spef.scan(spef_lines(spark, sf_dir))["health"].drop("src_id")
+def spef_units_triplets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spef_units_triplets(spark, sf_dir, "true")
 
 
-def spef_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spef_health(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = 'F'") -> DataFrame:
+    return spef.scan(spef_lines(spark, sf_dir, which))["health"].drop("src_id")
+
+
+def spef_health_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spef_health(spark, sf_dir, "true")
+
+
+def spef_roundtrip(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = 'F'") -> DataFrame:
     """Scanned, written, scanned again: the same sums by net."""
-    t = spef.scan(spef_lines(spark, sf_dir))
+    t = spef.scan(spef_lines(spark, sf_dir, which))
     w = spef.write(t)
     lines = w.select(F.lit(2).cast("long").alias("src_id"), F.when(F.col("part") == 2, F.lit(1 << 62) + F.col("no") * (1 << 44) + F.col("k")).when(F.col("part") == 1, F.lit(1 << 40) + F.col("no")).otherwise(F.col("k")).alias("seq"), "line")
     again = spef.scan(lines)
@@ -115,6 +123,10 @@ def spef_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again["net"].join(g, "net", "left").select("net", "cap_ff", F.col("g").alias("gcap_ff"))
 
 
+def spef_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spef_roundtrip(spark, sf_dir, "true")
+
+
 def lef_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A technology for each brand, a layer for each type; parts as macros with a pin."""
     p = read(spark, sf_dir, "part")
@@ -238,20 +250,25 @@ def spice_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", spice.number(F.concat(S("p_size"), suffix)).alias("v"))
 
 
-def rc_from_spef(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rc_from_spef(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = 'F'") -> DataFrame:
     """Delays on scanned nets: each order's node hangs on the driver by its own resistor."""
-    t = spef.scan(spef_lines(spark, sf_dir))
+    t = spef.scan(spef_lines(spark, sf_dir, which))
     rows = R.net_rows(t["res"].select("net", "ord", "a", "b", "r"), t["gcap"].select("net", "ord", "node", "c"))
     d = rows.select("net", F.inline(R.elmore("res", "caps", F.concat("net", F.lit(":Y")))))
     return d.filter(~F.endswith("node", F.lit(":Y"))).select("net", "node", F.round("delay", 6).alias("delay"))
 
 
+def rc_from_spef_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rc_from_spef(spark, sf_dir, "true")
+
+
 QUERIES = {
     "verilog_conns": verilog_conns, "yosys_conns": yosys_conns, "sdc_exceptions": sdc_exceptions, "sdc_ignored": sdc_ignored, "spef_units_triplets": spef_units_triplets, "spef_health": spef_health, "spef_roundtrip": spef_roundtrip,
     "lef_layers": lef_layers, "def_segments": def_segments, "def_pins_oriented": def_pins_oriented, "liberty_cells": liberty_cells, "spice_flatten": spice_flatten, "em_by_net": em_by_net, "klayout_net": klayout_net,
     "name_parts": name_parts, "port_expand": port_expand, "spice_numbers": spice_numbers, "rc_from_spef": rc_from_spef,
     # over whole tables; the queries of the same names without _all run on the slice that their SQL has
     "verilog_conns_all": verilog_conns_all, "sdc_exceptions_all": sdc_exceptions_all, "def_pins_oriented_all": def_pins_oriented_all, "liberty_cells_all": liberty_cells_all, "port_expand_all": port_expand_all,
+    "spef_units_triplets_all": spef_units_triplets_all, "spef_health_all": spef_health_all, "spef_roundtrip_all": spef_roundtrip_all, "rc_from_spef_all": rc_from_spef_all,
 }
 _F = "o AS (SELECT o_custkey AS c, o_orderkey AS o, floor(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F')"
 ORACLE_SQL = {

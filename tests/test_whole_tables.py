@@ -10,6 +10,7 @@ FILTERS = {
     "verilog_conns": [(" WHERE l_orderkey % 10 = 0", "", 1)], "sdc_exceptions": [(" WHERE s_suppkey % 2 = 0", "", 1)], "def_pins_oriented": [(" WHERE p_size <= 20", "", 1)],
     "liberty_cells": [(" WHERE p_size <= 10", "", 1)], "port_expand": [("p_size <= 20", "true", 2)],
     "cell_equivalence": [(" WHERE p_size <= 10", "", 1)], "upsize": [(" WHERE p_size <= 10", "", 1)], "downsize": [(" WHERE p_size <= 10", "", 1)], "nearest_waveform": [("p_size <= 5", "true", 1), ("p_size > 45", "true", 1)],
+    "spef_units_triplets": [(" WHERE o_orderstatus = 'F'", "", 1)], "spef_health": [(" WHERE o_orderstatus = 'F'", "", 1)], "spef_roundtrip": [(" WHERE o_orderstatus = 'F'", "", 1)], "rc_from_spef": [(" WHERE o_orderstatus = 'F'", "", 1)],
 }
 
 
