@@ -73,6 +73,14 @@ def net_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rates(nets, c, F.lit(1000.0), "dut").select("net", F.round("rate", 9).alias("rate"))
 
 
+def net_rates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates of all nets of the dump, and of three that it does not have."""
+    c = A.toggle_count(changes(spark, sf_dir)).select(F.concat(F.lit("tb.dut."), F.col("net")).alias("path"), "n_toggles")
+    known = read(spark, sf_dir, "events").filter("user_id is not null").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("net"))
+    nets = known.distinct().unionByName(spark.range(0, 3).select(F.concat(F.lit("unknown"), F.col("id").cast("string")).alias("net")))
+    return A.rates(nets, c, F.lit(1000.0), "dut").select("net", F.round("rate", 9).alias("rate"))
+
+
 def real_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("net"), F.col("event_id").alias("seq"), F.floor(F.col("value")).cast("long").cast("string").alias("value"))
     return A.real_changes(e)
@@ -107,7 +115,7 @@ def leaf_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "toggle_count": toggle_count, "toggle_window": toggle_window, "toggle_sweep_tumbling": _sweep(12, 12), "toggle_sweep_hopping": _sweep(6, 2), "toggle_sweep_gapped": _sweep(2, 8),
-    "sweep_folded_tail": sweep_folded_tail, "net_rates": net_rates, "real_changes": real_changes, "vector_toggles": vector_toggles, "saif_rate": saif_rate, "net_resolve": net_resolve, "leaf_collisions": leaf_collisions,
+    "sweep_folded_tail": sweep_folded_tail, "net_rates": net_rates, "net_rates_all": net_rates_all, "real_changes": real_changes, "vector_toggles": vector_toggles, "saif_rate": saif_rate, "net_resolve": net_resolve, "leaf_collisions": leaf_collisions,
 }
 ORACLE_SQL = {
     "toggle_count": SQL + "SELECT 'top.' || net AS path, CAST(sum(toggle) AS BIGINT) AS n_toggles FROM tg GROUP BY 1",

@@ -11,6 +11,7 @@ FILTERS = {
     "liberty_cells": [(" WHERE p_size <= 10", "", 1)], "port_expand": [("p_size <= 20", "true", 2)],
     "cell_equivalence": [(" WHERE p_size <= 10", "", 1)], "upsize": [(" WHERE p_size <= 10", "", 1)], "downsize": [(" WHERE p_size <= 10", "", 1)], "nearest_waveform": [("p_size <= 5", "true", 1), ("p_size > 45", "true", 1)],
     "spef_units_triplets": [(" WHERE o_orderstatus = 'F'", "", 1)], "spef_health": [(" WHERE o_orderstatus = 'F'", "", 1)], "spef_roundtrip": [(" WHERE o_orderstatus = 'F'", "", 1)], "rc_from_spef": [(" WHERE o_orderstatus = 'F'", "", 1)],
+    "net_rates": [("SELECT 'u' || range AS net FROM range(200)", "SELECT DISTINCT 'u' || user_id AS net FROM events WHERE user_id IS NOT NULL UNION ALL SELECT 'unknown' || range FROM range(3)", 1)],
 }
 
 
