@@ -25,15 +25,16 @@ def physical(conns: str = "conns"):
 
 def cell_refs(nl_inst: DataFrame, nl_module: DataFrame, lib_cell: DataFrame) -> DataFrame:
     """nl_inst.cell: inst_id, src_id, parent, key, t, cause and in_module of the instances whose cell no library serves at the time of
-    loading. cause is null where a module of the source does; in_module tells whether the source has the module at any time."""
+    loading. cause is null where a module of the source does; in_module tells whether the source has the module at any time, bare
+    whether the instance has no connections but power: it is no reference that can fail, but still brings its module in."""
     lib = lib_cell.filter("cell_name is not null").groupBy(canon("cell_name").alias("key")).agg(F.collect_list(F.struct("added_at", "deleted_at")).alias("terms"))
     lib, small = broadcast_if_small(lib)
-    i = nl_inst.filter(F.col("cell").isNotNull() & ~physical()).select("inst_id", "src_id", canon("cell").alias("key"), canon("parent_name").alias("parent"), F.col("loaded_at").alias("t"))
+    i = nl_inst.filter(F.col("cell").isNotNull()).select("inst_id", physical().alias("bare"), "src_id", canon("cell").alias("key"), canon("parent_name").alias("parent"), F.col("loaded_at").alias("t"))
     i = i.join(lib, "key", "left") if small else salted_join(i, lib, ["key"], "left", by=F.col("inst_id"))
     begun = lambda a: F.col("t").isNull() | (a <= F.col("t"))
     force = F.exists("terms", lambda x: begun(x["added_at"]) & (x["deleted_at"].isNull() | (x["deleted_at"] > F.col("t"))))
     i = i.filter(~F.coalesce(force, F.lit(False)))
-    i = i.select("inst_id", "src_id", "key", "parent", "t", F.coalesce(F.exists("terms", lambda x: x["deleted_at"] <= F.col("t")), F.lit(False)).alias("deleted"), F.col("terms").isNotNull().alias("listed"))
+    i = i.select("inst_id", "src_id", "key", "parent", "t", "bare", F.coalesce(F.exists("terms", lambda x: x["deleted_at"] <= F.col("t")), F.lit(False)).alias("deleted"), F.col("terms").isNotNull().alias("listed"))
     spice = F.coalesce(F.lower("fmt") == "sp", F.lit(False))
     name = canon("module_name")
     m = nl_module.filter("module_name is not null").groupBy("src_id", spice.alias("ci"), F.when(spice, F.lower(name)).otherwise(name).alias("m")).agg(F.min("loaded_at").alias("at"))
@@ -44,7 +45,7 @@ def cell_refs(nl_inst: DataFrame, nl_module: DataFrame, lib_cell: DataFrame) ->
     in_module = F.col("in_v").isNotNull() | F.col("in_s").isNotNull()
     served = F.coalesce(F.col("in_v") & begun(F.col("at_v")), F.lit(False)) | F.coalesce(F.col("in_s") & begun(F.col("at_s")), F.lit(False))
     cause = F.when(served, F.lit(None).cast("string")).when(F.col("deleted"), "deleted").when(F.col("listed") | in_module, "late").otherwise("missing")
-    return i.select("inst_id", "src_id", "parent", "key", cause.alias("cause"), in_module.alias("in_module"), "t").distinct()
+    return i.select("inst_id", "src_id", "parent", "key", cause.alias("cause"), in_module.alias("in_module"), "t", "bare").distinct()
 
 
 def net_targets(nl_inst: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def find(nl_inst: DataFrame, nl_module: DataFrame, lib_cell: DataFrame, spef_net
     The foreign-key graph below an instance: an instance whose module comes too late is an orphan, so all that lies in the module
     hangs below an orphan, and so does all in the modules that are brought in there."""
     refs = materialise(cell_refs(nl_inst, nl_module, lib_cell), "cells")
-    cells = refs.filter("cause is not null")
+    cells = refs.filter("cause is not null and not bare")
     nets = net_orphans(net_refs(spef_net), net_targets(nl_inst))
     month = F.date_format("t", "yyyy-MM").alias("seen_month")
     direct = cells.select(F.lit("nl_inst").alias("tbl"), F.lit("cell").alias("ref_field"), F.col("inst_id").alias("rec_id"), F.col("key").alias("missing_key"), "cause", month)
@@ -110,3 +111,16 @@ def find(nl_inst: DataFrame, nl_module: DataFrame, lib_cell: DataFrame, spef_net
     inside = inside.join(side, ["src_id", "low"]) if small else salted_join(inside, below, ["src_id", "low"], by=F.col("inst_id"))
     inside = inside.distinct().select(F.lit("nl_inst").alias("tbl"), F.lit("parent_name").alias("ref_field"), F.col("inst_id").alias("rec_id"), F.col("low").alias("missing_key"), F.lit("inherited").alias("cause"), month, "level")
     return direct.withColumn("level", F.lit(0)).unionByName(inside)
+
+
+def cascade(nl_inst: DataFrame, nl_module: DataFrame, lib_cell: DataFrame, spef_net: DataFrame) -> DataFrame:
+    """find(), and the parasitic records below it: a net that only orphaned instances connect hangs below them, one step from the
+    nearest, and so do the references to it that are no direct orphans."""
+    found = materialise(find(nl_inst, nl_module, lib_cell, spef_net), "found")
+    level = found.filter("tbl = 'nl_inst'").groupBy(F.col("rec_id").alias("inst_id")).agg(F.min("level").alias("level"))
+    ends = nl_inst.select("inst_id", "src_id", F.explode("conns.net").alias("net")).filter("net is not null").select("inst_id", "src_id", canon("net").alias("key")).distinct()
+    hung = ends.join(level, "inst_id", "left").groupBy("src_id", "key").agg(F.count_if(F.col("level").isNull()).alias("sound"), (F.min("level") + 1).alias("level")).filter("sound = 0").drop("sound")
+    below = salted_join(net_refs(spef_net).distinct(), hung, ["src_id", "key"], salts=4, by=F.col("net_id"))
+    below = below.select(F.lit("spef_net").alias("tbl"), "ref_field", F.col("net_id").alias("rec_id"), F.col("key").alias("missing_key"), F.lit("inherited").alias("cause"), F.date_format("t", "yyyy-MM").alias("seen_month"), "level").distinct()
+    direct = found.filter("tbl = 'spef_net'").select("ref_field", "rec_id", "missing_key", "seen_month")
+    return found.unionByName(below.join(direct, ["ref_field", "rec_id", "missing_key", "seen_month"], "left_anti"))

@@ -70,7 +70,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans per table, field, cause and month, direct and inherited."""
     direct = F.col("level") == 0
-    return _orphans(spark, sf_dir).groupBy("tbl", "ref_field", "cause", "seen_month").agg(F.count(F.when(direct, 1)).alias("n_direct"), F.count(F.when(~direct, 1)).alias("n_inherited"))
+    found = orphans.cascade(*(read(spark, sf_dir, t) for t in ("nl_inst", "nl_module", "lib_cell", "spef_net")))
+    return found.groupBy("tbl", "ref_field", "cause", "seen_month").agg(F.count(F.when(direct, 1)).alias("n_direct"), F.count(F.when(~direct, 1)).alias("n_inherited"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p2_intervals": p2_intervals, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found, "p5_converted": p5_converted, "p6_found": p6_found, "p6_report": p6_report}

@@ -38,3 +38,16 @@ def test_inherited_doubles_along_a_long_chain(spark):
     links = spark.createDataFrame([(k, k - 1) for k in range(1, 50)] + [(100, 101), (101, 100)], "k long, up long")
     got = {r.k: r.level for r in O.inherited(spark.createDataFrame([(0,), (30,)], "k long"), links).collect()}
     assert got == {k: k if k < 30 else k - 30 for k in range(50)}
+
+
+def test_nets_below_orphans_and_modules_of_bare_instances(spark):
+    inst = [(1, 1, "top", "nobody", [("A", "x"), ("B", "both")], d(3)), (2, 1, "top", "nand", [("A", "both")], d(3)), (3, 1, "top", "mid", [("A", "both")], d(3)), (4, 1, "mid", "low", [], d(3)), (5, 1, "low", "nand", [("A", "deep")], d(3))]
+    i = spark.createDataFrame(inst, "inst_id long, src_id long, parent_name string, cell string, conns array<struct<pin string, net string>>, loaded_at timestamp_ntz")
+    m = spark.createDataFrame([(1, "top", "v", d(1)), (1, "mid", "v", d(5)), (1, "low", "v", d(1))], "src_id long, module_name string, fmt string, loaded_at timestamp_ntz")
+    lib = spark.createDataFrame([("nand", d(1), None)], "cell_name string, added_at timestamp_ntz, deleted_at timestamp_ntz")
+    s = spark.createDataFrame([(1, 1, "x", [("both", 1.0)], d(4)), (2, 1, "both", [("deep", 1.0)], d(4)), (3, 1, "x", [], d(2))], "net_id long, src_id long, net string, coupling array<struct<other_net string, cc_ff double>>, loaded_at timestamp_ntz")
+    got = {(r.tbl, r.ref_field, r.rec_id, r.cause, r.level) for r in O.cascade(i, m, lib, s).collect()}
+    assert got == {
+        ("nl_inst", "cell", 1, "missing", 0), ("nl_inst", "cell", 3, "late", 0), ("nl_inst", "parent_name", 4, "inherited", 1), ("nl_inst", "parent_name", 5, "inherited", 2),
+        ("spef_net", "net", 1, "inherited", 1), ("spef_net", "coupling", 2, "inherited", 3), ("spef_net", "net", 3, "late", 0),
+    }
