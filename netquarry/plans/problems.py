@@ -46,8 +46,8 @@ def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("line_id", "src_id", "fmt", "line_block").distinct()
 
 
-def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.convert(*(read(spark, sf_dir, t) for t in ("spef_net", "sdc_clock", "act_dump", "src_unit")))
+def _converted(spark: SparkSession, sf_dir: str, prior: float = units.SPEC) -> DataFrame:
+    return units.convert(*(read(spark, sf_dir, t) for t in ("spef_net", "sdc_clock", "act_dump", "src_unit")), prior)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every readable value in its common unit, with the decoded unit beside the stated one."""
-    return _converted(spark, sf_dir).filter("readable").select("tbl", "rec_id", "quantity", F.col("stated").isNotNull().alias("is_stated"), "decoded", "value").distinct()
+    """Every readable value in its common unit, with the decoded unit and whether one is stated."""
+    return _converted(spark, sf_dir).select("tbl", "rec_id", "quantity", (F.col("freq") | F.col("stated").isNotNull()).alias("is_stated"), "decoded", "value")
+
+
+def p5_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without a unit whose values jump from their device's level by a power of 1000: the unit the chain decodes when nothing but
+    a weak prior speaks for the common one."""
+    return units.switches(_converted(spark, sf_dir, prior=2.0))
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +80,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("tbl", "ref_field", "cause", "seen_month").agg(F.count(F.when(direct, 1)).alias("n_direct"), F.count(F.when(~direct, 1)).alias("n_inherited"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p2_intervals": p2_intervals, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found, "p5_converted": p5_converted, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p2_intervals": p2_intervals, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found, "p5_converted": p5_converted, "p5_switches": p5_switches, "p6_found": p6_found, "p6_report": p6_report}
 
 
 _SLOTS_SQL = """WITH s AS (SELECT dump_id, max(step_s) AS s FROM act_dump GROUP BY 1),
@@ -92,7 +98,34 @@ t(src_id, k, root, depth, path, above) AS (SELECT m.src_id, m.k, m.n, 0, m.n, CA
 b AS (SELECT src_id, a AS k, count(*) AS n FROM (SELECT src_id, unnest(above) AS a FROM t) GROUP BY 1, 2)
 """
 
+def _units_sql() -> str:
+    """p5_found by the rule alone: a unit in the text, else in the remark or timescale, else in the header, else the common one."""
+    ohm = chr(8486)
+    n, unit = units.NUMBER, r"[^\s\[\]=0-9.+][^\s\[\]=0-9]*"
+    front, back = rf"^({n})\s*(?:\[\s*({unit})\s*\]|({unit}))?$", rf"^({unit})\s*[= ]\s*({n})$"
+    head = rf"(?:^|[\s:])({n})?\s*([A-Za-zµμΩω{ohm}-]+)\s*$"
+    low = lambda c: f"replace(lower({c}), chr(8486), 'ω')"
+    words = ", ".join(f"('{k}', '{w}', {p}, {str(f).lower()})" for k in ("cap", "res", "time") for w, (p, f) in units.unit_table(k).items())
+    spoken = lambda k: "MAP {" + ", ".join(f"'{w}': {p}" for w, (p, f) in (units.unit_table(k) | ({"ω": (0, False)} if k == "res" else {})).items() if (len(w) > 1 or w == "ω") and not f) + "}"
+    fields = " UNION ALL ".join(f"SELECT '{t}' AS tbl, {i} AS rec_id, src_id, '{q}' AS quantity, '{k}' AS kind, trim({c}, chr(32)||chr(9)||chr(13)||chr(10)) AS x, {'remark' if t == 'spef_net' else 'NULL'} AS remark, {'timescale' if t == 'act_dump' else 'NULL'} AS scale FROM {t}" for q, t, i, c, k in units.FIELDS)
+    said = lambda c, k: f"CASE WHEN u.fr IS NOT TRUE AND coalesce(try_cast(nullif(regexp_extract({c}, '{head}', 1), '') AS DOUBLE), 1) > 0 THEN log10(coalesce(try_cast(nullif(regexp_extract({c}, '{head}', 1), '') AS DOUBLE), 1)) + CASE WHEN regexp_extract({c}, '{head}', 2) = 'f' THEN -15 ELSE u.p END END"
+    return f"""WITH u(kind, w, p, fr) AS (VALUES {words}),
+h AS (SELECT src_id, q, max_by(v, (loaded_at, v)) AS v FROM (SELECT s.src_id, s.loaded_at, CASE s.q WHEN 'time' THEN 'period' ELSE s.q END AS q, {said("s.unit_text", "s.q")} AS v
+  FROM (SELECT *, CASE lower(quantity) WHEN 'capacitance' THEN 'cap' WHEN 'resistance' THEN 'res' WHEN 'time' THEN 'time' END AS q FROM src_unit) s JOIN u ON u.kind = s.q AND u.w = {low(f"regexp_extract(s.unit_text, '{head}', 2)")}) WHERE v IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT scale, {said("scale", "'time'")} AS v FROM (SELECT DISTINCT timescale AS scale FROM act_dump) a JOIN u ON u.kind = 'time' AND u.w = {low(f"regexp_extract(a.scale, '{head}', 2)")}),
+t AS ({fields}),
+r AS (SELECT *, CASE WHEN regexp_matches(x, '{front}') THEN regexp_extract(x, '{front}', 1) WHEN regexp_matches(x, '{back}') THEN regexp_extract(x, '{back}', 2) END AS num,
+  CASE WHEN regexp_matches(x, '{front}') THEN regexp_extract(x, '{front}', 2) || regexp_extract(x, '{front}', 3) ELSE regexp_extract(x, '{back}', 1) END AS word,
+  list_filter(list_transform(regexp_extract_all(remark, '[A-Za-zµμΩω{ohm}][A-Za-zµμΩω{ohm}-]*'), lambda y: CASE kind WHEN 'cap' THEN ({spoken("cap")})[{low("y")}] ELSE ({spoken("res")})[{low("y")}] END), lambda y: y IS NOT NULL)[1] AS spoken FROM t),
+k AS (SELECT r.*, CASE WHEN word = 'f' THEN -15 ELSE u.p END AS p, word <> 'f' AND coalesce(u.fr, false) AS fr, CAST(num AS DOUBLE) AS val FROM r LEFT JOIN u ON u.kind = r.kind AND u.w = {low("word")} WHERE num IS NOT NULL),
+e AS (SELECT k.*, CASE quantity WHEN 'cap' THEN -15 WHEN 'period' THEN -9 ELSE 0 END AS common, CASE quantity WHEN 'cap' THEN 3 WHEN 'res' THEN 3 WHEN 'period' THEN 6 ELSE 15 END AS fine, coalesce(k.p, k.spoken, d.v, h.v) AS unit
+  FROM k LEFT JOIN d ON k.quantity = 'sim_time' AND d.scale = k.scale LEFT JOIN h ON h.src_id = k.src_id AND h.q = k.quantity WHERE val > 0 AND (word = '' OR k.p IS NOT NULL)),
+f AS (SELECT *, round(unit - common, 12) + fine AS s FROM e WHERE fr OR abs(unit - common) > 1e-9)
+SELECT DISTINCT tbl, rec_id, quantity, CAST(round(CASE WHEN fr THEN pow(10.0, 15.0 - unit) / val WHEN s >= 0 THEN val * pow(10.0, s) ELSE val / pow(10.0, -s) END) AS BIGINT) AS val_int FROM f"""
+
+
 ORACLE_SQL = {
+    "p5_found": _units_sql(),
     "p1_found": _SLOTS_SQL + "SELECT g.dump_id, g.sig_path, g.slot FROM g LEFT JOIN c ON c.dump_id = g.dump_id AND c.sig_path = g.sig_path AND c.k = g.slot WHERE c.k IS NULL",
     "p2_found": _TREE_SQL + "SELECT m.src_id, m.n AS module_name, coalesce(t.root, '') AS root_name, CAST(coalesce(t.depth, -1) AS BIGINT) AS node_depth, CAST(CASE WHEN t.k IS NULL THEN -1 ELSE coalesce(b.n, 0) END AS BIGINT) AS n_below, coalesce(t.path, '') AS full_path FROM m LEFT JOIN t ON t.src_id = m.src_id AND t.k = m.k LEFT JOIN b ON b.src_id = m.src_id AND b.k = m.k",
     "p6_found": r"""
