@@ -19,6 +19,12 @@ def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.regular(read(spark, sf_dir, "sweep_window"), read(spark, sf_dir, "act_dump"), **SERIES).select("dump_id", "sig_path", "slot", F.round("value", 6).alias("value"), "missing")
 
 
+def p1_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots of p1_grid that a usable reading measured."""
+    got = grid.regular(read(spark, sf_dir, "sweep_window"), read(spark, sf_dir, "act_dump"), **SERIES)
+    return got.filter("not missing").select("dump_id", "sig_path", "slot", F.round("value", 4).alias("value"))
+
+
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, links = hierarchy.module_links(*(read(spark, sf_dir, t) for t in ("nl_module", "nl_inst", "sp_device")))
     return hierarchy.hierarchy(nodes, links).join(nodes.select("id", F.col("grp").alias("src_id")), "id")
@@ -80,7 +86,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("tbl", "ref_field", "cause", "seen_month").agg(F.count(F.when(direct, 1)).alias("n_direct"), F.count(F.when(~direct, 1)).alias("n_inherited"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p2_intervals": p2_intervals, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found, "p5_converted": p5_converted, "p5_switches": p5_switches, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p1_covered": p1_covered, "p2_found": p2_found, "p2_intervals": p2_intervals, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found, "p5_converted": p5_converted, "p5_switches": p5_switches, "p6_found": p6_found, "p6_report": p6_report}
 
 
 _SLOTS_SQL = """WITH s AS (SELECT dump_id, max(step_s) AS s FROM act_dump GROUP BY 1),
@@ -126,6 +132,8 @@ SELECT DISTINCT tbl, rec_id, quantity, CAST(round(CASE WHEN fr THEN pow(10.0, 15
 
 ORACLE_SQL = {
     "p5_found": _units_sql(),
+    "p1_covered": _SLOTS_SQL.replace("from_s AS f, to_s AS t, s FROM", "from_s AS f, to_s AS t, toggles AS v, s FROM").replace("c AS (", "x AS (SELECT dump_id, sig_path, v * s / (t - f) AS y, unnest(range(greatest(0, CAST(floor(f / s) AS BIGINT) - 1), CAST(ceil(t / s) AS BIGINT) + 2)) AS k, f, t, s FROM w), c AS (", 1)
+    + "SELECT dump_id, sig_path, k AS slot, round(avg(y), 4) AS value FROM x WHERE (k + 0.5::DOUBLE) * s >= f AND (k + 0.5::DOUBLE) * s < t GROUP BY ALL",
     "p1_found": _SLOTS_SQL + "SELECT g.dump_id, g.sig_path, g.slot FROM g LEFT JOIN c ON c.dump_id = g.dump_id AND c.sig_path = g.sig_path AND c.k = g.slot WHERE c.k IS NULL",
     "p2_found": _TREE_SQL + "SELECT m.src_id, m.n AS module_name, coalesce(t.root, '') AS root_name, CAST(coalesce(t.depth, -1) AS BIGINT) AS node_depth, CAST(CASE WHEN t.k IS NULL THEN -1 ELSE coalesce(b.n, 0) END AS BIGINT) AS n_below, coalesce(t.path, '') AS full_path FROM m LEFT JOIN t ON t.src_id = m.src_id AND t.k = m.k LEFT JOIN b ON b.src_id = m.src_id AND b.k = m.k",
     "p6_found": r"""

@@ -1,5 +1,8 @@
+import math
 import random
 
+import pytest
+
 from netquarry.operators import grid
 
 ARGS = dict(key=["d", "s"], step_key=["d"], start="f", end="t", value="v", step="step")
@@ -35,8 +38,6 @@ def test_missing_slots(spark):
 
 
 def test_filled_values_follow_season_and_trend(spark):
-    import math
-
     value = lambda k: 100 + 0.5 * k + 20 * math.sin(2 * math.pi * k / 24)
     rows = [(1, "a", float(k), k + 1.0, int(value(k) * 1000), "") for k in range(200) if not 90 <= k < 100]
     got = grid.fill(spark.createDataFrame(rows, W), spark.createDataFrame([(1, 1.0, 0)], S), **ARGS).collect()
@@ -44,6 +45,35 @@ def test_filled_values_follow_season_and_trend(spark):
     assert all(abs(r.filled - value(r.slot) * 1000) < 100 for r in got)
 
 
+@pytest.mark.parametrize("offset", [0, 10_000_000, 10_000_000_000])
+@pytest.mark.parametrize("period", [24, 60])
+def test_large_slots_cost_no_precision(spark, offset, period):
+    value = lambda k: 30_000 + 0.5 * k + 20_000 * math.sin(2 * math.pi * k / period) + 3_000 * math.cos(4 * math.pi * k / period)
+    rows = [(1, "a", float(offset + k), offset + k + 1.0, int(value(k)), "") for k in range(400) if not 150 <= k < 198]
+    got = grid.fill(spark.createDataFrame(rows, W), spark.createDataFrame([(1, 1.0, 0)], S), **ARGS).collect()
+    assert len(got) == 48 and max(abs(r.filled - value(r.slot - offset)) for r in got) < 200  # 1 % of the amplitude
+
+
+def test_long_readings_count_by_their_slots(spark, monkeypatch):
+    monkeypatch.setattr(grid, "BLOCK", 64)  # the sums of many blocks are moved to one start
+    value = lambda k: 1000 + 300 * math.sin(2 * math.pi * k / 24)
+    mean = lambda a, b: sum(value(k) for k in range(a, b)) / (b - a)
+    rnd, rows, k = random.Random(5), [], 0
+    while k < 2000:
+        n = rnd.choice([1, 2, 5, 9])
+        if rnd.random() > 0.2:
+            rows.append((1, "a", float(k), float(k + n), round(mean(k, k + n) * n * 1000), ""))
+        k += n
+    got = grid.fill(spark.createDataFrame(rows, W), spark.createDataFrame([(1, 1.0, 0)], S), **ARGS).collect()
+    assert len(got) > 100 and max(abs(r.predicted - value(r.slot) * 1000) for r in got) < 3000
+
+
+def test_regression_is_in_the_plan(spark):
+    import __spark_entry__ as entry
+
+    assert "ArrowEvalPython" in entry.queries()["p1_found"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blocks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(grid, "BLOCK", 8)
     rows = [(1, "a", float(k), k + 1.0, 1, "") for k in (0, 1, 3, 30, 90)] + [(1, "a", 40.0, 60.0, 9, "")]
