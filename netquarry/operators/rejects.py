@@ -189,6 +189,8 @@ def reasons(lines: DataFrame, id_col: str = "line_id", fmt: str = "fmt", block:
 
 
 def split(lines: DataFrame, id_col: str = "line_id", fmt: str = "fmt", block: str = "line_block", text: str = "raw_text") -> tuple[DataFrame, DataFrame]:
-    """The loadable lines, and the others with _reason."""
-    why = reasons(lines, id_col, fmt, block, text).withColumnRenamed("reason", "_reason")
-    return lines.join(why, id_col, "left_anti"), lines.join(why, id_col)
+    """The loadable lines, and the others with _reason. A line without an id is known by its content."""
+    content = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (fmt, block, text)]).cast("string")
+    keyed = lines.withColumn("_line", F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.concat(F.lit("t"), content, F.coalesce(F.length(text).cast("string"), F.lit("")))))
+    why = reasons(keyed, "_line", fmt, block, text).withColumnRenamed("reason", "_reason")
+    return keyed.join(why, "_line", "left_anti").drop("_line"), keyed.join(why, "_line").drop("_line")

@@ -72,18 +72,19 @@ def p5_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.find(*(read(spark, sf_dir, t) for t in ("nl_inst", "nl_module", "lib_cell", "spef_net")))
+    return orphans.cascade(*(read(spark, sf_dir, t) for t in ("nl_inst", "nl_module", "lib_cell", "spef_net")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direct orphans of the cascade."""
     return _orphans(spark, sf_dir).filter("level = 0").drop("level")
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphans per table, field, cause and month, direct and inherited."""
+    """Orphans per table, field, cause and month, direct and inherited, and the longest chain."""
     direct = F.col("level") == 0
-    found = orphans.cascade(*(read(spark, sf_dir, t) for t in ("nl_inst", "nl_module", "lib_cell", "spef_net")))
-    return found.groupBy("tbl", "ref_field", "cause", "seen_month").agg(F.count(F.when(direct, 1)).alias("n_direct"), F.count(F.when(~direct, 1)).alias("n_inherited"))
+    found = _orphans(spark, sf_dir)
+    return found.groupBy("tbl", "ref_field", "cause", "seen_month").agg(F.count(F.when(direct, 1)).alias("n_direct"), F.count(F.when(~direct, 1)).alias("n_inherited"), F.max("level").cast("long").alias("deepest"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p1_covered": p1_covered, "p2_found": p2_found, "p2_intervals": p2_intervals, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found, "p5_converted": p5_converted, "p5_switches": p5_switches, "p6_found": p6_found, "p6_report": p6_report}
@@ -130,14 +131,7 @@ f AS (SELECT *, round(unit - common, 12) + fine AS s FROM e WHERE fr OR abs(unit
 SELECT DISTINCT tbl, rec_id, quantity, CAST(round(CASE WHEN fr THEN pow(10.0, 15.0 - unit) / val WHEN s >= 0 THEN val * pow(10.0, s) ELSE val / pow(10.0, -s) END) AS BIGINT) AS val_int FROM f"""
 
 
-ORACLE_SQL = {
-    "p5_found": _units_sql(),
-    "p1_covered": _SLOTS_SQL.replace("from_s AS f, to_s AS t, s FROM", "from_s AS f, to_s AS t, toggles AS v, s FROM").replace("c AS (", "x AS (SELECT dump_id, sig_path, v * s / (t - f) AS y, unnest(range(greatest(0, CAST(floor(f / s) AS BIGINT) - 1), CAST(ceil(t / s) AS BIGINT) + 2)) AS k, f, t, s FROM w), c AS (", 1)
-    + "SELECT dump_id, sig_path, k AS slot, round(avg(y), 4) AS value FROM x WHERE (k + 0.5::DOUBLE) * s >= f AND (k + 0.5::DOUBLE) * s < t GROUP BY ALL",
-    "p1_found": _SLOTS_SQL + "SELECT g.dump_id, g.sig_path, g.slot FROM g LEFT JOIN c ON c.dump_id = g.dump_id AND c.sig_path = g.sig_path AND c.k = g.slot WHERE c.k IS NULL",
-    "p2_found": _TREE_SQL + "SELECT m.src_id, m.n AS module_name, coalesce(t.root, '') AS root_name, CAST(coalesce(t.depth, -1) AS BIGINT) AS node_depth, CAST(CASE WHEN t.k IS NULL THEN -1 ELSE coalesce(b.n, 0) END AS BIGINT) AS n_below, coalesce(t.path, '') AS full_path FROM m LEFT JOIN t ON t.src_id = m.src_id AND t.k = m.k LEFT JOIN b ON b.src_id = m.src_id AND b.k = m.k",
-    "p6_found": r"""
-WITH m AS (SELECT src_id, fmt, rtrim(replace(module_name,'\',''), chr(32)||chr(9)||chr(13)||chr(10)) AS n, min(loaded_at) AS at FROM nl_module GROUP BY ALL),
+_ORPHANS_SQL = r"""WITH m AS (SELECT src_id, fmt, rtrim(replace(module_name,'\',''), chr(32)||chr(9)||chr(13)||chr(10)) AS n, min(loaded_at) AS at FROM nl_module GROUP BY ALL),
 i AS (SELECT DISTINCT inst_id, src_id, rtrim(replace(cell,'\',''), chr(32)||chr(9)||chr(13)||chr(10)) AS k, loaded_at AS t FROM nl_inst
   WHERE cell IS NOT NULL AND len(list_filter(conns, lambda c: NOT regexp_matches(upper(coalesce(c.pin,'')), '^(VDD|VSS|VPWR|VGND)|^(VPB|VNB)$'))) > 0),
 l AS (SELECT rtrim(replace(cell_name,'\',''), chr(32)||chr(9)) AS k, added_at, deleted_at FROM lib_cell),
@@ -148,8 +142,37 @@ mm AS (SELECT i.inst_id, bool_or(m.at <= i.t) AS ok FROM i JOIN m ON i.src_id =
 n AS (SELECT src_id, rtrim(replace(c.net,'\',''), chr(32)||chr(9)||chr(13)||chr(10)) AS k, min(loaded_at) AS at FROM (SELECT src_id, loaded_at, unnest(conns) AS c FROM nl_inst) GROUP BY 1, 2),
 r AS (SELECT net_id, src_id, 'net' AS f, net AS x, loaded_at AS t FROM spef_net UNION ALL SELECT net_id, src_id, 'coupling', c.other_net, loaded_at FROM (SELECT net_id, src_id, loaded_at, unnest(coupling) AS c FROM spef_net)),
 rk AS (SELECT DISTINCT net_id, src_id, f, rtrim(replace(x,'\',''), chr(32)||chr(9)||chr(13)||chr(10)) AS k, t FROM r WHERE x IS NOT NULL)
-SELECT 'nl_inst' AS tbl, 'cell' AS ref_field, i.inst_id AS rec_id, i.k AS missing_key, CASE WHEN ld.inst_id IS NOT NULL THEN 'deleted' WHEN lk.k IS NOT NULL OR mm.inst_id IS NOT NULL THEN 'late' ELSE 'missing' END AS cause, strftime(i.t, '%Y-%m') AS seen_month
+"""
+_DIRECT_SQL = """SELECT 'nl_inst' AS tbl, 'cell' AS ref_field, i.inst_id AS rec_id, i.k AS missing_key, CASE WHEN ld.inst_id IS NOT NULL THEN 'deleted' WHEN lk.k IS NOT NULL OR mm.inst_id IS NOT NULL THEN 'late' ELSE 'missing' END AS cause, strftime(i.t, '%Y-%m') AS seen_month
 FROM i LEFT JOIN lf USING (inst_id) LEFT JOIN ld USING (inst_id) LEFT JOIN mm USING (inst_id) LEFT JOIN lk ON i.k = lk.k WHERE lf.inst_id IS NULL AND NOT coalesce(mm.ok, false)
 UNION ALL SELECT 'spef_net', rk.f, rk.net_id, rk.k, CASE WHEN n.k IS NULL THEN 'missing' ELSE 'late' END, strftime(rk.t, '%Y-%m') FROM rk LEFT JOIN n ON rk.src_id = n.src_id AND rk.k = n.k WHERE n.k IS NULL OR n.at > rk.t
-""",
+"""
+# links between modules, modules at or below one that comes too late with the fewest steps, the instances in them, nets of orphaned instances only
+_CASCADE_SQL = (
+    r"""dir AS (""" + _DIRECT_SQL + r"""),
+ii AS (SELECT DISTINCT inst_id, src_id, lower(rtrim(replace(cell,'\',''), chr(32)||chr(9)||chr(13)||chr(10))) AS c, lower(rtrim(replace(parent_name,'\',''), chr(32)||chr(9)||chr(13)||chr(10))) AS p, rtrim(replace(cell,'\',''), chr(32)||chr(9)||chr(13)||chr(10)) AS k, loaded_at AS t, conns FROM nl_inst),
+served AS (SELECT DISTINCT ii.inst_id FROM ii JOIN l ON ii.k = l.k AND l.added_at <= ii.t AND (l.deleted_at IS NULL OR ii.t < l.deleted_at)),
+im AS (SELECT DISTINCT ii.inst_id, ii.src_id, ii.c, ii.p FROM ii JOIN m ON ii.src_id = m.src_id AND ii.c = lower(m.n) AND (m.fmt = 'sp' OR m.n = ii.k) LEFT JOIN served USING (inst_id) WHERE served.inst_id IS NULL),
+lk2 AS (SELECT DISTINCT src_id, c, p FROM im WHERE p IS NOT NULL AND p <> c),
+bel(src_id, low, level) AS (SELECT DISTINCT im.src_id, im.c, 1 FROM im JOIN dir ON dir.tbl = 'nl_inst' AND dir.rec_id = im.inst_id UNION SELECT lk2.src_id, lk2.c, bel.level + 1 FROM bel JOIN lk2 ON lk2.src_id = bel.src_id AND lk2.p = bel.low WHERE bel.level < 2000),
+bl AS (SELECT src_id, low, min(level) AS level FROM bel GROUP BY 1, 2),
+inn AS (SELECT ii.inst_id, ii.src_id, ii.p AS low, ii.t, bl.level FROM ii JOIN bl ON bl.src_id = ii.src_id AND bl.low = ii.p),
+orp AS (SELECT inst_id, min(level) AS level FROM (SELECT inst_id, level FROM inn UNION ALL SELECT rec_id, 0 FROM dir WHERE tbl = 'nl_inst') GROUP BY 1),
+en AS (SELECT inst_id, src_id, rtrim(replace(c.net,'\',''), chr(32)||chr(9)||chr(13)||chr(10)) AS k FROM (SELECT inst_id, src_id, unnest(conns) AS c FROM ii) WHERE c.net IS NOT NULL),
+hn AS (SELECT en.src_id, en.k, min(orp.level) + 1 AS level FROM en LEFT JOIN orp USING (inst_id) GROUP BY 1, 2 HAVING count(*) = count(orp.level)),
+allo AS (SELECT *, 0 AS level FROM dir UNION ALL SELECT DISTINCT 'nl_inst', 'parent_name', inst_id, low, 'inherited', strftime(t, '%Y-%m'), level FROM inn
+  UNION ALL SELECT DISTINCT 'spef_net', rk.f, rk.net_id, rk.k, 'inherited', strftime(rk.t, '%Y-%m'), hn.level FROM rk JOIN hn USING (src_id, k) JOIN n USING (src_id, k) WHERE n.at <= rk.t)
+SELECT tbl, ref_field, cause, seen_month, count(*) FILTER (level = 0) AS n_direct, count(*) FILTER (level > 0) AS n_inherited, CAST(max(level) AS BIGINT) AS deepest FROM allo GROUP BY ALL
+"""
+)
+
+
+ORACLE_SQL = {
+    "p5_found": _units_sql(),
+    "p1_covered": _SLOTS_SQL.replace("from_s AS f, to_s AS t, s FROM", "from_s AS f, to_s AS t, toggles AS v, s FROM").replace("c AS (", "x AS (SELECT dump_id, sig_path, v * s / (t - f) AS y, unnest(range(greatest(0, CAST(floor(f / s) AS BIGINT) - 1), CAST(ceil(t / s) AS BIGINT) + 2)) AS k, f, t, s FROM w), c AS (", 1)
+    + "SELECT dump_id, sig_path, k AS slot, round(avg(y), 4) AS value FROM x WHERE (k + 0.5::DOUBLE) * s >= f AND (k + 0.5::DOUBLE) * s < t GROUP BY ALL",
+    "p1_found": _SLOTS_SQL + "SELECT g.dump_id, g.sig_path, g.slot FROM g LEFT JOIN c ON c.dump_id = g.dump_id AND c.sig_path = g.sig_path AND c.k = g.slot WHERE c.k IS NULL",
+    "p2_found": _TREE_SQL + "SELECT m.src_id, m.n AS module_name, coalesce(t.root, '') AS root_name, CAST(coalesce(t.depth, -1) AS BIGINT) AS node_depth, CAST(CASE WHEN t.k IS NULL THEN -1 ELSE coalesce(b.n, 0) END AS BIGINT) AS n_below, coalesce(t.path, '') AS full_path FROM m LEFT JOIN t ON t.src_id = m.src_id AND t.k = m.k LEFT JOIN b ON b.src_id = m.src_id AND b.k = m.k",
+    "p6_found": _ORPHANS_SQL + _DIRECT_SQL,
+    "p6_report": _ORPHANS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + "," + _CASCADE_SQL,
 }

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from netquarry.operators import orphans as O
 
@@ -15,14 +16,14 @@ def test_direct_and_inherited(spark):
     m = spark.createDataFrame([(1, "top", "v", d(1)), (1, "\\mid ", "v", d(5)), (1, "low", "v", d(1))], "src_id long, module_name string, fmt string, loaded_at timestamp_ntz")
     lib = spark.createDataFrame([("nand", d(1), None), ("gone", d(1), d(2)), ("late", d(4), None)], "cell_name string, added_at timestamp_ntz, deleted_at timestamp_ntz")
     s = spark.createDataFrame([(1, 1, "n1", [("n\\ 2", 1.0), ("zz", 1.0)], d(4)), (2, 1, "n1", [], d(2)), (3, 1, "none", None, d(4)), (4, 1, None, [], d(4))], "net_id long, src_id long, net string, coupling array<struct<other_net string, cc_ff double>>, loaded_at timestamp_ntz")
-    got = [tuple(r) for r in O.find(i, m, lib, s).collect()]
+    got = [tuple(r) for r in O.cascade(i, m, lib, s).collect()]
     assert len(got) == len(set(got))
     assert {r[:-1] for r in got if r[-1] == 0} == {
         ("nl_inst", "cell", 2, "gone", "deleted", "2025-03"), ("nl_inst", "cell", 3, "nobody", "missing", "2025-03"), ("nl_inst", "cell", 4, "mid", "late", "2025-03"), ("nl_inst", "cell", 11, "late", "late", "2025-03"),
         ("spef_net", "coupling", 1, "zz", "missing", "2025-04"), ("spef_net", "net", 2, "n1", "late", "2025-02"), ("spef_net", "net", 3, "none", "missing", "2025-04"),
     }
     # mid is late, so what lies in it and in low below it hangs from an orphan
-    assert {(r[2], r[-1]) for r in got if r[-1]} == {(5, 1), (6, 1), (7, 2)}
+    assert {(r[0], r[2], r[-1]) for r in got if r[-1]} == {("nl_inst", 5, 1), ("nl_inst", 6, 1), ("nl_inst", 7, 2), ("spef_net", 1, 1)}  # "n 2" hangs on 3 alone
 
 
 def test_empty_targets(spark):
@@ -30,8 +31,8 @@ def test_empty_targets(spark):
     m = spark.createDataFrame([], "src_id long, module_name string, fmt string, loaded_at timestamp_ntz")
     lib = spark.createDataFrame([], "cell_name string, added_at timestamp_ntz, deleted_at timestamp_ntz")
     s = spark.createDataFrame([], "net_id long, src_id long, net string, coupling array<struct<other_net string, cc_ff double>>, loaded_at timestamp_ntz")
-    assert [r.cause for r in O.find(i, m, lib, s).collect()] == ["missing"]
-    assert O.find(i.limit(0), m, lib, s).count() == 0
+    assert [r.cause for r in O.cascade(i, m, lib, s).collect()] == ["missing"]
+    assert O.cascade(i.limit(0), m, lib, s).count() == 0
 
 
 def test_inherited_doubles_along_a_long_chain(spark):
@@ -51,3 +52,23 @@ def test_nets_below_orphans_and_modules_of_bare_instances(spark):
         ("nl_inst", "cell", 1, "missing", 0), ("nl_inst", "cell", 3, "late", 0), ("nl_inst", "parent_name", 4, "inherited", 1), ("nl_inst", "parent_name", 5, "inherited", 2),
         ("spef_net", "net", 1, "inherited", 1), ("spef_net", "coupling", 2, "inherited", 3), ("spef_net", "net", 3, "late", 0),
     }
+
+
+def test_records_with_several_parents_equal_brute_force(spark):
+    rnd = random.Random(6)
+    links = [(k, k - 1) for k in range(1, 40)] + [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)] + [(3, None), (None, 4), (5, 5)]
+    start = {2, 50, 77}
+    level, todo = dict.fromkeys(start, 0), list(start)
+    while todo:
+        nxt = []
+        for k, up in links:
+            if up in todo and k is not None and k not in level:
+                nxt.append(k)
+        for k in nxt:
+            level[k] = level[todo[0]] + 1
+        todo = list(set(nxt))
+    got = {r.k: r.level for r in O.inherited(spark.createDataFrame([(k,) for k in start], "k long"), spark.createDataFrame(links + links[:9], "k long, up long")).collect()}
+    assert got == level
+    # 3 is under 1 and 2, of which only 2 is an orphan
+    got = O.inherited(spark.createDataFrame([(2,)], "k long"), spark.createDataFrame([(3, 1), (3, 2)], "k long, up long")).collect()
+    assert {(r.k, r.level) for r in got} == {(2, 0), (3, 1)}

@@ -25,6 +25,10 @@ def test_reasons(spark):
     good, bad = R.split(df)
     assert good.count() + bad.count() == df.count() and set(good.columns) == set(df.columns)
     assert R.reasons(df.limit(0)).count() == 0
+    # lines without an id are known by their content
+    lost = spark.createDataFrame([(None, *c[:3], "extra") for c in CASES], df.schema)
+    good, bad = R.split(lost)
+    assert good.count() == sum(c[3] is None for c in CASES) and bad.count() == sum(c[3] is not None for c in CASES)
 
 
 @pytest.mark.parametrize("line", ["{[}]", "]", "a}", '"a" "'])
