@@ -52,5 +52,39 @@ def test_mixture(spark):
     assert again == {tuple(x) for x in rows}
     mixed, report = M.mix(d, t, total_tokens=10**6)  # beyond reach: every record as often as allowed
     r = {x.source: x for x in report.collect()}
+    assert r["big"].shortfall_tokens == r["big"].quota_tokens - r["big"].tokens > 0 and r["big"].reachable_tokens == r["big"].held_tokens
     assert r["big"].tokens == r["big"].held_tokens and r["small"].most_copies == 3 and r["small"].tokens == 3 * r["small"].held_tokens
     assert M.mix(d.limit(0), t)[0].count() == 0 and M.mix(d, t.limit(0))[0].count() == 0
+
+
+def test_sources_of_one_pattern_share_its_records(spark):
+    text = lambda i: f"def shared_{i}(x): return x + {i} * {i % 7}"
+    docs = [(2 * i + k, s, text(i), 0) for i in range(400) for k, s in enumerate(("a", "b"))]
+    t = spark.createDataFrame([("a", 50.0, 2), ("b", 50.0, 2)], TARGET)
+    d = spark.createDataFrame(docs, DOC)
+    used = {}
+    for r in M.mix(d, t)[0].collect():  # half of the tokens each: every text once
+        used[r.doc_id // 2] = used.get(r.doc_id // 2, 0) + r.copies
+    assert used == dict.fromkeys(range(400), 1)
+    # beyond the supply: the flow's cost is paid, no text a third time before all were used twice
+    held = sum(r.n_tokens for r in M.count_tokens(d).filter("source = 'a'").collect())
+    rows = M.mix(d, t, total_tokens=int(2.5 * held))[0].collect()
+    used = {}
+    for r in rows:
+        assert r.copies <= 2
+        used[r.doc_id // 2] = used.get(r.doc_id // 2, 0) + r.copies
+    assert set(used.values()) == {2, 3} and len(used) == 400
+    n = {r.doc_id // 2: r.n_tokens for r in rows}
+    cost = sum(n[i] * (u * (u - 1) // 2) for i, u in used.items())
+    flow = M.min_cost_flow({("a", "b"): held}, {"a": int(1.25 * held), "b": int(1.25 * held)}, {"a": 2, "b": 2})
+    sent = sum(flow.values())
+    assert abs(cost - (held + 2 * (sent - 2 * held))) <= 4 * max(n.values())
+
+
+def test_documents_of_one_text_in_one_source_count_each(spark):
+    docs = [(i, "a", "x = 1", 0) for i in range(30)] + [(100 + i, "b", "x = 1", 0) for i in range(10)] + [(5, "a", "x = 1", 0)]
+    one = {(r.copy, tuple(tuple(d) for d in r.docs)) for r in M.records(M.count_tokens(spark.createDataFrame(docs, DOC))).collect()}
+    assert one == {(k, (("a", k), ("b", 100 + k)) if k < 10 else (("a", k),)) for k in range(30)}
+    targets = [(f"s{k}", 1.0, 1) for k in range(30)]  # more targets than a machine word has bits to spare
+    many = spark.createDataFrame([(k, f"s{k}", f"y = {k}", 0) for k in range(30)], DOC)
+    assert M.mix(many, spark.createDataFrame(targets, TARGET))[1].count() == 30
