@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.core import salted_join
+
 # Supply, well and bias pin names.
 POWER_PINS = [
     "VPWR", "VGND", "VPB", "VNB", "VDD", "VSS", "VDDA", "VSSA", "VCC", "VEE", "VPP", "GND",
@@ -20,38 +22,91 @@ def is_power_pin(name: Column | str) -> Column:
 
 
 def netlist(insts: DataFrame, conns: DataFrame, lib_cells: DataFrame) -> DataFrame:
-    """One row: instances, resolved, physical_only, unresolved_signal, analysable. insts (inst, cell), conns (inst, pin), lib_cells (cell)."""
+    """One row: instances, masters, resolved, physical_only, unresolved_signal, analysable. insts (inst, cell), conns (inst, pin),
+    lib_cells (cell). Analysable is what is neither physical only nor unresolved."""
     power = conns.groupBy("inst").agg(F.bool_and(is_power_pin("pin")).alias("_power"))
     known = lib_cells.select("cell").distinct().withColumn("_known", F.lit(True))
-    i = insts.join(known, "cell", "left").join(power, "inst", "left")
-    lost = F.col("_known").isNull()
+    masters = insts.groupBy("cell").agg(F.count("*").alias("_n")).agg(F.count("cell").alias("masters"), F.coalesce(F.sum("_n"), F.lit(0)).alias("instances"))
+    # instances whose cell is known need no look at their pins; the cells of the others are few
+    lost = salted_join(insts, insts.select("cell").distinct().join(known, "cell", "left_anti"), ["cell"], by=F.col("inst")).unionByName(insts.filter("cell is null"))
     phys = F.coalesce("_power", F.lit(True))
-    n = lambda c: F.coalesce(F.count_if(c), F.lit(0))
-    out = i.agg(F.count("*").alias("instances"), n(~lost).alias("resolved"), n(lost & phys).alias("physical_only"), n(lost & ~phys).alias("unresolved_signal"))
-    return out.withColumn("analysable", F.greatest(F.col("instances") - F.col("physical_only"), F.lit(0)))
+    kinds = lost.join(power, "inst", "left").agg(F.count_if(phys).alias("physical_only"), F.count_if(~phys).alias("unresolved_signal"))
+    out = masters.crossJoin(F.broadcast(kinds))  # one row each
+    rest = F.col("instances") - F.col("physical_only") - F.col("unresolved_signal")
+    return out.select("instances", "masters", rest.alias("resolved"), "physical_only", "unresolved_signal", F.greatest(rest, F.lit(0)).alias("analysable"))
+
 
+def library(used: DataFrame, lib_cells: DataFrame, pins: DataFrame, arcs: DataFrame, constraints: DataFrame) -> DataFrame:
+    """One row on the masters in use: cells_in_lib, resolved_masters, driving_without_arcs (an output that is not tied, and no arc at all),
+    sequential_without_constraints, ccs_declared and ccs_usable (arcs).
 
-def library(used: DataFrame, lib_cells: DataFrame, arcs: DataFrame) -> DataFrame:
-    """One row on the masters in use: masters, in_library, with_arcs, with_constraints, ccs_declared, ccs_usable.
+    used (cell), lib_cells (cell, is_seq), pins (cell, direction, function), arcs (cell, ccs_declared, ccs_usable), constraints (cell)."""
+    from netquarry.operators.library import constant_output
 
-    arcs: cell, is_constraint, ccs_declared, ccs_usable."""
-    u = used.select("cell").distinct()
-    a = arcs.groupBy("cell").agg(F.bool_or(~F.col("is_constraint")).alias("_arc"), F.bool_or("is_constraint").alias("_con"), F.count_if("ccs_declared").alias("_d"), F.count_if("ccs_usable").alias("_u"))
-    j = u.join(lib_cells.select("cell").distinct().withColumn("_in", F.lit(True)), "cell", "left").join(a, "cell", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    has = lambda c: F.count_if(F.col("_in") & F.coalesce(F.col(c), F.lit(False)))
-    total = lambda c: F.coalesce(F.sum(F.when(F.col("_in"), F.col(c))), F.lit(0))
-    return j.agg(F.count("*").alias("masters"), F.count_if("_in").alias("in_library"), has("_arc").alias("with_arcs"), has("_con").alias("with_constraints"), total("_d").alias("ccs_declared"), total("_u").alias("ccs_usable"))
+    lib = lib_cells.groupBy("cell").agg(F.bool_or("is_seq").alias("_seq"))
+    drives = pins.groupBy("cell").agg(F.bool_or((F.col("direction") == "output") & ~constant_output("direction", "function")).alias("_drives"))
+    a = arcs.groupBy("cell").agg(F.count("*").alias("_arcs"), F.count_if("ccs_declared").alias("_d"), F.count_if(F.col("ccs_declared") & F.col("ccs_usable")).alias("_u"))
+    c = constraints.select("cell").distinct().withColumn("_con", F.lit(True))
+    j = used.select("cell").distinct().join(lib, "cell").join(drives, "cell", "left").join(a, "cell", "left").join(c, "cell", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = j.agg(
+        F.count("*").alias("resolved_masters"), F.count_if(F.coalesce("_drives", F.lit(False)) & F.col("_arcs").isNull()).alias("driving_without_arcs"),
+        F.count_if(F.coalesce("_seq", F.lit(False)) & F.col("_con").isNull()).alias("sequential_without_constraints"), total("_d").alias("ccs_declared"), total("_u").alias("ccs_usable"),
+    )
+    return lib.agg(F.count("*").alias("cells_in_lib")).crossJoin(F.broadcast(one))  # one row each
 
 
 def parasitics(design_nets: DataFrame, file_nets: DataFrame, aggressors: DataFrame) -> DataFrame:
-    """One row: nets of the design and of the file, matched both ways, aggressors without a net, percent and verdicts. Each: (net)."""
+    """One row: nets of the design and of the file, matched both ways, coupling references and those whose aggressor is no net of the
+    design, percent and verdicts. Each: (net)."""
     d, f = design_nets.select("net").distinct(), file_nets.select("net").distinct()
     j = d.withColumn("_d", F.lit(True)).join(f.withColumn("_f", F.lit(True)), "net", "full")
-    a = aggressors.select("net").join(d, "net", "left_anti").agg(F.count("*").alias("aggressors_unmatched"))
+    refs = aggressors.groupBy("net").agg(F.count("*").alias("_n")).join(d.withColumn("_d", F.lit(True)), "net", "left")
+    a = refs.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("coupling_refs"), F.coalesce(F.sum(F.when(F.col("_d").isNull(), F.col("_n"))), F.lit(0)).alias("coupling_unresolved"))
     out = j.agg(F.count("_d").alias("design_nets"), F.count("_f").alias("file_nets"), F.count_if(F.col("_d") & F.col("_f")).alias("matched"), F.count_if(F.col("_d") & F.col("_f").isNull()).alias("design_nets_unmatched"), F.count_if(F.col("_f") & F.col("_d").isNull()).alias("file_nets_unmatched"))
     out = out.crossJoin(F.broadcast(a))  # one row each
     pct = F.coalesce(F.try_divide(F.col("matched") * 100.0, F.col("design_nets").cast("double")), F.lit(0.0))
-    return out.withColumn("percent", pct).withColumn("read_but_unmatched", (F.col("file_nets") > 0) & (F.col("matched") == 0)).withColumn("names_all_correspond", (F.col("file_nets_unmatched") == 0) & (F.col("aggressors_unmatched") == 0))
+    return out.withColumn("percent", pct).withColumn("read_but_unmatched", (F.col("file_nets") > 0) & (F.col("matched") == 0)).withColumn("names_all_correspond", (F.col("file_nets_unmatched") == 0) & (F.col("coupling_unresolved") == 0))
+
+
+def composition(design: dict[str, DataFrame]) -> DataFrame:
+    """Six checks that files of one design agree: check, subject, detail, a row for each disagreement.
+
+    design, each with names as they are compared: nets (net), insts (inst, cell), conns (inst, pin, net), ports (port), lib_pins (cell, pin),
+    spef_nets (net), spef_pins (inst, pin), sdc_clocks (clock, source), sdc_io (port, is_default), dump_nets (net). A part that is not given
+    is not checked."""
+    out: list[DataFrame] = []
+
+    def add(check: str, rows: DataFrame, subject, detail) -> None:
+        out.append(rows.select(F.lit(check).alias("check"), F.col(subject).cast("string").alias("subject"), (F.col(detail).cast("string") if isinstance(detail, str) else detail).alias("detail")).distinct())
+
+    has = lambda *names: all(n in design for n in names)
+    if has("spef_nets", "nets"):
+        add("net of the parasitics", unmatched(design["spef_nets"], design["nets"], ["net"]), "net", F.lit(None).cast("string"))
+    if has("spef_pins", "conns"):
+        add("pin of the parasitics", unmatched(design["spef_pins"].select("inst", "pin"), design["conns"], ["inst", "pin"]), "inst", "pin")
+    if has("insts", "lib_pins"):
+        add("cell of the netlist", unmatched(design["insts"].select("cell").distinct(), design["lib_pins"], ["cell"]), "cell", F.lit(None).cast("string"))
+        if has("conns"):
+            cells = design["lib_pins"].select("cell").distinct()
+            used = design["conns"].join(design["insts"].select("inst", "cell"), "inst").groupBy("cell", "pin").agg(F.count("*").alias("n")).join(cells, "cell", "left_semi")
+            add("pin of the netlist", unmatched(used, design["lib_pins"], ["cell", "pin"]), "cell", "pin")
+    if has("ports") and (has("sdc_clocks") or has("sdc_io")):
+        named = []
+        if has("sdc_clocks"):
+            named.append(design["sdc_clocks"].filter("source <> '' and not contains(source, '/')").select(F.col("source").alias("port"), F.concat(F.lit("clock "), "clock").alias("by")))
+        if has("sdc_io"):
+            named.append(design["sdc_io"].filter("not is_default and not contains(port, '/')").select("port", F.lit("io delay").alias("by")))
+        rows = named[0] if len(named) == 1 else named[0].unionByName(named[1])
+        add("port of the constraints", unmatched(rows, design["ports"], ["port"]), "port", "by")
+    if has("nets", "dump_nets"):
+        add("net of the dump", unmatched(design["nets"].select("net"), design["dump_nets"], ["net"]), "net", F.lit(None).cast("string"))
+    if not out:
+        raise ValueError("no two parts of a design that could be compared")
+    got = out[0]
+    for o in out[1:]:
+        got = got.unionByName(o)
+    return got
 
 
 def unmatched(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.core import materialise, numbered, salted_join
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -20,16 +22,18 @@ def _place(grid: Column, v: Column) -> tuple[Column, Column]:
 
 
 def lookup(index_1: Column | str, index_2: Column | str, values: Column | str, slew: Column | str, load: Column | str) -> Column:
-    """Bilinear lookup, held at the edges. No values give 0, no axis the first value, an axis of one point that point; ragged rows null."""
+    """Bilinear lookup, held at the edges. No values give 0, an axis that is missing the first value, an axis of one point that point;
+    ragged rows null."""
     i1, i2, v, s, c = map(_c, (index_1, index_2, values, slew, load))
     r, fr = _place(i1, s)
     k, fk = _place(i2, c)
     at = lambda i, j: F.get(F.get(v, i), j)
+    none = lambda x: F.coalesce(F.size(x), F.lit(0)) <= 0
     one1, one2 = F.size(i1) < 2, F.size(i2) < 2
     r2, k2 = F.when(one1, r).otherwise(r + 1), F.when(one2, k).otherwise(k + 1)
     low = at(r, k) + (at(r, k2) - at(r, k)) * fk
     high = at(r2, k) + (at(r2, k2) - at(r2, k)) * fk
-    return F.when(F.coalesce(F.size(v), F.lit(0)) <= 0, F.lit(0.0)).when((F.coalesce(F.size(i1), F.lit(0)) <= 0) & (F.coalesce(F.size(i2), F.lit(0)) <= 0), at(F.lit(0), F.lit(0))).otherwise(low + (high - low) * fr)
+    return F.when(none(v), F.lit(0.0)).when(none(i1) | none(i2), at(F.lit(0), F.lit(0))).otherwise(low + (high - low) * fr)
 
 
 def constraint(rise: Column, fall: Column) -> Column:
@@ -44,7 +48,7 @@ def slew_span(rise_lo: Column, rise_hi: Column, fall_lo: Column, fall_hi: Column
 
 
 def constant_output(direction: Column | str, function: Column | str) -> Column:
-    d, f = _c(direction), F.trim(_c(function))
+    d, f = _c(direction), F.trim(F.trim(F.trim(_c(function)), F.lit('"')))
     return F.coalesce(d.isin("output", "inout") & f.isin("0", "1"), F.lit(False))
 
 
@@ -70,9 +74,10 @@ def load_cap(receiver: Column, static: Column) -> Column:
 
 
 def state_leakage(groups: DataFrame, key: list[str]) -> DataFrame:
-    """Leakage of a cell: what belongs to one state adds up, and states are averaged; no condition is a state of its own."""
-    states = groups.groupBy(*key, "state").agg(F.sum("value").alias("v"))
-    return states.groupBy(*key).agg(F.avg("v").alias("leakage"))
+    """Leakage of a cell: what belongs to one state adds up, and states are averaged; each value without a condition is a state of its own."""
+    states = groups.filter("value is not null").groupBy(*key, "state").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
+    own = F.when(F.col("state").isNull(), F.col("n")).otherwise(F.lit(1))
+    return states.groupBy(*key).agg((F.sum("v") / F.sum(own)).alias("leakage"))
 
 
 def internal_energy(tables: DataFrame, key: list[str], values: str, unit: float = 1.0) -> DataFrame:
@@ -86,40 +91,81 @@ def signatures(pins: DataFrame) -> DataFrame:
     return pins.groupBy("cell").agg(F.array_sort(F.collect_set(p)).alias("signature"), F.max(F.col("function").isNotNull()).alias("has_function"))
 
 
-def equivalents(cells: DataFrame) -> DataFrame:
-    """Pairs (cell, other) that can stand for each other, each cell with itself; cells: cell, footprint, is_seq, area, signature, has_function.
+def classes(cells: DataFrame) -> DataFrame:
+    """cells (cell, footprint, is_seq, area, signature, has_function) -> cell, area, rule, class_id, has_footprint: one row for each class a
+    cell belongs to, at most two.
+
+    Two cells can stand for each other if they share a footprint class, or share a function class and not both have a footprint: where
+    both have one it decides. A sequential cell or one without functions is in no function class; a cell in no class stands for itself.
+    The classes hold the whole relation; its pairs are never written out."""
+    foot, plain = F.col("footprint").isNotNull(), ~F.col("is_seq") & F.col("has_function")
+    sig = F.md5(F.to_json("signature"))
+    rows = F.array(F.when(foot, F.struct(F.lit("footprint").alias("rule"), F.concat(F.lit("f:"), "footprint").alias("k"))), F.when(plain, F.struct(F.lit("function").alias("rule"), F.concat(F.lit("s:"), sig).alias("k"))), F.when(~foot & ~plain, F.struct(F.lit("self").alias("rule"), F.concat(F.lit("c:"), F.col("cell").cast("string")).alias("k"))))
+    each = cells.select("cell", F.coalesce("area", F.lit(0.0)).alias("area"), foot.alias("has_footprint"), F.inline(F.filter(rows, lambda x: x.isNotNull())))
+    first = each.groupBy("k").agg(F.min("cell").alias("class_id"))
+    return salted_join(each, first, ["k"], by=F.col("cell"))
 
-    Where both have a footprint it decides; else a sequential cell equals only itself; else pins and functions decide. As the rule
-    depends on the pair it is no grouping: three equi-joins find the pairs, on the footprint or on the signature."""
-    a = cells.select(*[F.col(c).alias(f"a_{c}") for c in cells.columns])
-    b = cells.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns])
-    both = F.col("a_footprint").isNotNull() & F.col("b_footprint").isNotNull()
-    foot = a.filter("a_footprint is not null").join(b.filter("b_footprint is not null"), F.col("a_footprint") == F.col("b_footprint"))
-    comb_a = a.filter(~F.col("a_is_seq") & F.col("a_has_function"))
-    comb_b = b.filter(~F.col("b_is_seq") & F.col("b_has_function"))
-    by_pins = comb_a.join(comb_b, F.col("a_signature") == F.col("b_signature")).filter(~both)
-    same = cells.select(F.col("cell"), F.col("cell").alias("other"), F.col("area"), F.col("area").alias("other_area"))
-    pick = lambda d: d.select(F.col("a_cell").alias("cell"), F.col("b_cell").alias("other"), F.col("a_area").alias("area"), F.col("b_area").alias("other_area"))
-    return pick(foot).unionByName(pick(by_pins)).unionByName(same).distinct()
 
+def ladder(classes: DataFrame) -> DataFrame:
+    """classes with place (by area, then name), n_cells, n_smaller, n_larger, and the nearest of both, next_smaller and next_larger.
 
-def ladder(pairs: DataFrame) -> DataFrame:
-    """The place of each equivalent by area, then name."""
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("other_area", "other")).cast("long"))
+    Cells are numbered over all tasks in the order of their classes, so a class with a third of them is no group of one task."""
+    n = materialise(numbered(classes, ["k", "area", "cell"]), "ladder")
+    whole = n.groupBy("k").agg(F.min("n").alias("_first"), F.max("n").alias("_last"))
+    step = n.groupBy("k", "area").agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"))
+    out = salted_join(salted_join(n, whole, ["k"], by=F.col("cell")), step, ["k", "area"], by=F.col("cell"))
+    near = lambda alias, at: n.select(F.col("n").alias(at), F.col("k").alias("k"), F.col("cell").alias(alias))
+    out = out.withColumn("_next", F.col("_hi") + 1).withColumn("_before", F.col("_lo") - 1)
+    firsts = step.select("k", F.col("_lo").alias("_cut"), F.col("_hi").alias("_before"))  # of the smaller ones the nearest area, and there the first name
+    smaller = firsts.join(near("next_smaller", "_cut"), ["k", "_cut"]).drop("_cut")
+    out = salted_join(out, near("next_larger", "_next"), ["k", "_next"], "left", by=F.col("cell"))
+    out = salted_join(out, smaller, ["k", "_before"], "left", by=F.col("cell"))
+    return out.select(
+        "cell", "rule", "class_id", "has_footprint", (F.col("n") - F.col("_first") + 1).alias("place"), (F.col("_last") - F.col("_first") + 1).alias("n_cells"),
+        (F.col("_lo") - F.col("_first")).alias("n_smaller"), (F.col("_last") - F.col("_hi")).alias("n_larger"), "next_smaller", "next_larger",
+    )
 
 
-def upsizes(pairs: DataFrame) -> DataFrame:
-    return ladder(pairs.filter(F.col("other_area") > F.col("area")))
+def upsizes(ladder: DataFrame) -> DataFrame:
+    """Of each cell and class how many larger cells there are, and the nearest: the candidates are those behind it on the ladder."""
+    return ladder.filter("n_larger > 0").select("cell", "rule", "class_id", "n_larger", "next_larger")
 
 
-def downsizes(pairs: DataFrame) -> DataFrame:
-    return ladder(pairs.filter(F.col("other_area") < F.col("area")))
+def downsizes(ladder: DataFrame) -> DataFrame:
+    return ladder.filter("n_smaller > 0").select("cell", "rule", "class_id", "n_smaller", "next_smaller")
 
 
 def merge(cells: DataFrame, key: str = "cell", order: str = "lib_id") -> DataFrame:
     """Libraries merged: of each cell the first library's."""
-    w = Window.partitionBy(key).orderBy(order)
-    return cells.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    rest = [c for c in cells.columns if c != key]
+    return cells.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*").select(*cells.columns)
+
+
+def merged_voltage(libs: DataFrame, order: str = "lib_id") -> DataFrame:
+    """One row, voltage: the first library's that is not 0, in the order of loading; 0 if all are."""
+    return libs.agg(F.coalesce(F.min_by("voltage", F.when(F.col("voltage") != 0, F.col(order))), F.lit(0.0)).alias("voltage"))
+
+
+# Names of a library's thresholds as they are declared, in percent, and what holds where one is not or lies outside 0 to 100.
+THRESHOLDS = {
+    "slew_lower_threshold_pct_rise": 20.0, "slew_upper_threshold_pct_rise": 80.0, "slew_lower_threshold_pct_fall": 20.0, "slew_upper_threshold_pct_fall": 80.0,
+    "input_threshold_pct_rise": 50.0, "input_threshold_pct_fall": 50.0, "output_threshold_pct_rise": 50.0, "output_threshold_pct_fall": 50.0,
+}
+
+
+def thresholds(declared: Column | str) -> Column:
+    """map(name, percent) as declared -> struct of fractions, with slew_derate (1 unless it is above 0) and slew_span."""
+    d = _c(declared)
+
+    def part(name: str, otherwise: float) -> Column:
+        v = F.try_element_at(d, F.lit(name))
+        return (F.when((v >= 0) & (v <= 100), v).otherwise(F.lit(otherwise)) / 100.0).alias(name.replace("_threshold_pct", ""))
+
+    parts = [part(n, v) for n, v in THRESHOLDS.items()]
+    derate = F.try_element_at(d, F.lit("slew_derate_from_library"))
+    one = lambda n: part(n, THRESHOLDS[n]) * 100.0
+    span = slew_span(*[one(f"slew_{e}_threshold_pct_{s}") for s in ("rise", "fall") for e in ("lower", "upper")])
+    return F.struct(*parts, F.when(derate > 0, derate).otherwise(F.lit(1.0)).alias("slew_derate"), span.alias("slew_span"))
 
 
 def ceff(c1: Column, c2: Column, tau: Column, t: Column) -> Column:

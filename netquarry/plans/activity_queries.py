@@ -68,12 +68,6 @@ def sweep_folded_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def net_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = A.toggle_count(changes(spark, sf_dir)).select(F.concat(F.lit("tb.dut."), F.col("net")).alias("path"), "n_toggles")
-    nets = spark.range(0, 200).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("net"))
-    return A.rates(nets, c, F.lit(1000.0), "dut").select("net", F.round("rate", 9).alias("rate"))
-
-
-def net_rates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rates of all nets of the dump, and of three that it does not have."""
     c = A.toggle_count(changes(spark, sf_dir)).select(F.concat(F.lit("tb.dut."), F.col("net")).alias("path"), "n_toggles")
     known = read(spark, sf_dir, "events").filter("user_id is not null").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("net"))
@@ -115,7 +109,7 @@ def leaf_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "toggle_count": toggle_count, "toggle_window": toggle_window, "toggle_sweep_tumbling": _sweep(12, 12), "toggle_sweep_hopping": _sweep(6, 2), "toggle_sweep_gapped": _sweep(2, 8),
-    "sweep_folded_tail": sweep_folded_tail, "net_rates": net_rates, "net_rates_all": net_rates_all, "real_changes": real_changes, "vector_toggles": vector_toggles, "saif_rate": saif_rate, "net_resolve": net_resolve, "leaf_collisions": leaf_collisions,
+    "sweep_folded_tail": sweep_folded_tail, "net_rates": net_rates, "real_changes": real_changes, "vector_toggles": vector_toggles, "saif_rate": saif_rate, "net_resolve": net_resolve, "leaf_collisions": leaf_collisions,
 }
 ORACLE_SQL = {
     "toggle_count": SQL + "SELECT 'top.' || net AS path, CAST(sum(toggle) AS BIGINT) AS n_toggles FROM tg GROUP BY 1",
@@ -124,7 +118,7 @@ ORACLE_SQL = {
     "toggle_sweep_hopping": _sweep_sql(6, 2),
     "toggle_sweep_gapped": _sweep_sql(2, 8),
     "sweep_folded_tail": SQL + f"SELECT least(CAST(floor((tick - {START}) / {24 * HOUR}.0) AS BIGINT), 9) AS win, net, CAST(sum(toggle) AS BIGINT) AS n_toggles, count(*) AS n_events FROM tg WHERE tick >= {START} AND tick < {END} GROUP BY 1, 2",
-    "net_rates": SQL + "SELECT n.net, round(coalesce(sum(toggle), 0) / 1000.0, 9) AS rate FROM (SELECT 'u' || range AS net FROM range(200)) n LEFT JOIN tg USING (net) GROUP BY 1",
+    "net_rates": SQL + "SELECT n.net, round(coalesce(sum(toggle), 0) / 1000.0, 9) AS rate FROM (SELECT DISTINCT 'u' || user_id AS net FROM events WHERE user_id IS NOT NULL UNION ALL SELECT 'unknown' || range FROM range(3)) n LEFT JOIN tg USING (net) GROUP BY 1",
     "real_changes": "WITH p AS (SELECT user_id AS net, CAST(floor(value) AS BIGINT) AS v, lag(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT net, CAST(sum(CASE WHEN v <> p THEN 1 ELSE 0 END) AS BIGINT) AS n_changes FROM p GROUP BY 1",
     "vector_toggles": "WITH b AS (SELECT user_id AS net, event_id, r.range AS bit, (coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), 0) % 256 >> CAST(r.range AS INT)) & 1 AS v FROM events, range(8) r), p AS (SELECT net, bit, v, lag(v) OVER (PARTITION BY net, bit ORDER BY event_id) AS p FROM b) SELECT net, bit, CAST(sum(CASE WHEN v <> p THEN 1 ELSE 0 END) AS BIGINT) AS n_toggles FROM p GROUP BY 1, 2",
     "saif_rate": "SELECT 'top.u' || user_id || '.a[0]' AS path, CAST(count(*) AS DOUBLE) AS tc, 15.0::DOUBLE AS t_known, 1.0::DOUBLE AS t_x, round(count(*) / 50e-9, 3) AS rate FROM events GROUP BY user_id",

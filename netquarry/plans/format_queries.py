@@ -32,10 +32,6 @@ def _verilog_conns(li: DataFrame) -> DataFrame:
 
 
 def verilog_conns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verilog_conns(read(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"))
-
-
-def verilog_conns_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verilog_conns(read(spark, sf_dir, "lineitem"))
 
 
@@ -59,10 +55,6 @@ def _sdc_exceptions(s: DataFrame) -> DataFrame:
 
 
 def sdc_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sdc_exceptions(read(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0"))
-
-
-def sdc_exceptions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sdc_exceptions(read(spark, sf_dir, "supplier"))
 
 
@@ -75,9 +67,9 @@ def sdc_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select(F.col("src_id").alias("user_id"), "command", F.col("command").isin(sdc.TIMING_AFFECTING).alias("affects")).distinct()
 
 
-def spef_lines(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = 'F'") -> DataFrame:
+def spef_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of mapped nets: customers with an order that is taken; capacitors and resistors as triplets, in pF and kilo-ohm."""
-    o = read(spark, sf_dir, "orders").filter(which).select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("v"))
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("v"))
     c = o.groupBy("o_custkey").agg(F.sum("v").alias("t"))
     big = 1 << 32
     head = spark.createDataFrame([(0, "*SPEF x"), (1, "*c_unit 1 pf"), (2, "*R_UNIT 1 KOHM // x"), (3, "*NAME_MAP")], "seq long, line string")
@@ -94,28 +86,20 @@ def spef_lines(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = '
     return head.unionByName(m).unionByName(blocks).unionByName(el).withColumn("src_id", F.lit(1).cast("long"))
 
 
-def spef_units_triplets(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = 'F'") -> DataFrame:
-    t = spef.scan(spef_lines(spark, sf_dir, which))
+def spef_units_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spef.scan(spef_lines(spark, sf_dir))
     g = t["gcap"].groupBy("net").agg(F.sum("c").alias("g"), F.count("*").alias("n_gcap"))
     r = t["res"].groupBy("net").agg(F.sum("r").alias("r"))
     return t["net"].join(g, "net", "left").join(r, "net", "left").select("net", "cap_ff", F.col("g").alias("gcap_ff"), "n_gcap", F.coalesce("r", F.lit(0.0)).alias("res_ohm"))
 
 
-def spef_units_triplets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spef_units_triplets(spark, sf_dir, "true")
-
+def spef_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spef.scan(spef_lines(spark, sf_dir))["health"].drop("src_id")
 
-def spef_health(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = 'F'") -> DataFrame:
-    return spef.scan(spef_lines(spark, sf_dir, which))["health"].drop("src_id")
 
-
-def spef_health_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spef_health(spark, sf_dir, "true")
-
-
-def spef_roundtrip(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = 'F'") -> DataFrame:
+def spef_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned, written, scanned again: the same sums by net."""
-    t = spef.scan(spef_lines(spark, sf_dir, which))
+    t = spef.scan(spef_lines(spark, sf_dir))
     w = spef.write(t)
     lines = w.select(F.lit(2).cast("long").alias("src_id"), F.when(F.col("part") == 2, F.lit(1 << 62) + F.col("no") * (1 << 44) + F.col("k")).when(F.col("part") == 1, F.lit(1 << 40) + F.col("no")).otherwise(F.col("k")).alias("seq"), "line")
     again = spef.scan(lines)
@@ -123,10 +107,6 @@ def spef_roundtrip(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus
     return again["net"].join(g, "net", "left").select("net", "cap_ff", F.col("g").alias("gcap_ff"))
 
 
-def spef_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spef_roundtrip(spark, sf_dir, "true")
-
-
 def lef_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A technology for each brand, a layer for each type; parts as macros with a pin."""
     p = read(spark, sf_dir, "part")
@@ -161,10 +141,6 @@ def _def_pins_oriented(p: DataFrame) -> DataFrame:
 
 
 def def_pins_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _def_pins_oriented(read(spark, sf_dir, "part").filter("p_size <= 20"))
-
-
-def def_pins_oriented_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _def_pins_oriented(read(spark, sf_dir, "part"))
 
 
@@ -183,10 +159,6 @@ def _liberty_cells(p: DataFrame) -> DataFrame:
 
 
 def liberty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _liberty_cells(read(spark, sf_dir, "part").filter("p_size <= 10"))
-
-
-def liberty_cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _liberty_cells(read(spark, sf_dir, "part"))
 
 
@@ -237,10 +209,6 @@ def _port_expand(p: DataFrame) -> DataFrame:
 
 
 def port_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _port_expand(read(spark, sf_dir, "part").filter("p_size <= 20"))
-
-
-def port_expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _port_expand(read(spark, sf_dir, "part"))
 
 
@@ -250,47 +218,40 @@ def spice_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", spice.number(F.concat(S("p_size"), suffix)).alias("v"))
 
 
-def rc_from_spef(spark: SparkSession, sf_dir: str, which: str = "o_orderstatus = 'F'") -> DataFrame:
+def rc_from_spef(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delays on scanned nets: each order's node hangs on the driver by its own resistor."""
-    t = spef.scan(spef_lines(spark, sf_dir, which))
+    t = spef.scan(spef_lines(spark, sf_dir))
     rows = R.net_rows(t["res"].select("net", "ord", "a", "b", "r"), t["gcap"].select("net", "ord", "node", "c"))
     d = rows.select("net", F.inline(R.elmore("res", "caps", F.concat("net", F.lit(":Y")))))
     return d.filter(~F.endswith("node", F.lit(":Y"))).select("net", "node", F.round("delay", 6).alias("delay"))
 
 
-def rc_from_spef_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rc_from_spef(spark, sf_dir, "true")
-
-
 QUERIES = {
     "verilog_conns": verilog_conns, "yosys_conns": yosys_conns, "sdc_exceptions": sdc_exceptions, "sdc_ignored": sdc_ignored, "spef_units_triplets": spef_units_triplets, "spef_health": spef_health, "spef_roundtrip": spef_roundtrip,
     "lef_layers": lef_layers, "def_segments": def_segments, "def_pins_oriented": def_pins_oriented, "liberty_cells": liberty_cells, "spice_flatten": spice_flatten, "em_by_net": em_by_net, "klayout_net": klayout_net,
     "name_parts": name_parts, "port_expand": port_expand, "spice_numbers": spice_numbers, "rc_from_spef": rc_from_spef,
-    # over whole tables; the queries of the same names without _all run on the slice that their SQL has
-    "verilog_conns_all": verilog_conns_all, "sdc_exceptions_all": sdc_exceptions_all, "def_pins_oriented_all": def_pins_oriented_all, "liberty_cells_all": liberty_cells_all, "port_expand_all": port_expand_all,
-    "spef_units_triplets_all": spef_units_triplets_all, "spef_health_all": spef_health_all, "spef_roundtrip_all": spef_roundtrip_all, "rc_from_spef_all": rc_from_spef_all,
 }
-_F = "o AS (SELECT o_custkey AS c, o_orderkey AS o, floor(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F')"
+_F = "o AS (SELECT o_custkey AS c, o_orderkey AS o, floor(o_totalprice) AS v FROM orders)"
 ORACLE_SQL = {
-    "verilog_conns": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_orderkey % 10 = 0)
+    "verilog_conns": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem)
 SELECT l_orderkey, 'P' || p AS cell, 'u' || n || '_' || p || '_' || s AS name, u.pin, CASE u.pin WHEN 'A' THEN 'a[' || (n % 8) || ']' WHEN 'Y' THEN 'n' || s || '.y' WHEN 'C[2]' THEN 'a[7]' WHEN 'C[1]' THEN 'a[6]' ELSE 'b' END AS net FROM l, (VALUES ('A'), ('Y'), ('C[2]'), ('C[1]'), ('C[0]')) u(pin)""",
     "yosys_conns": "SELECT n_regionkey, n_name AS inst, 'N' AS cell, u.pin, CASE u.pin WHEN 'A' THEN CASE n_nationkey % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'q[0]' ELSE 'v' END WHEN 'Q[0]' THEN '$n' || (10 + n_nationkey) ELSE 'q[1]' END AS net FROM nation, (VALUES ('A'), ('Q[0]'), ('Q[1]')) u(pin)",
-    "sdc_exceptions": "SELECT s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN 'false' ELSE 'multicycle' END AS kind, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey % 5 + 1 END AS mult, CASE WHEN s_suppkey % 3 = 0 THEN least('s' || s_suppkey, 's' || (s_suppkey + 1)) || ',' || greatest('s' || s_suppkey, 's' || (s_suppkey + 1)) ELSE 's' || s_suppkey END AS from_set, CASE WHEN s_suppkey % 3 = 0 THEN 'n' || s_nationkey ELSE '*' END AS to_set FROM supplier WHERE s_suppkey % 2 = 0",
+    "sdc_exceptions": "SELECT s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN 'false' ELSE 'multicycle' END AS kind, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey % 5 + 1 END AS mult, CASE WHEN s_suppkey % 3 = 0 THEN least('s' || s_suppkey, 's' || (s_suppkey + 1)) || ',' || greatest('s' || s_suppkey, 's' || (s_suppkey + 1)) ELSE 's' || s_suppkey END AS from_set, CASE WHEN s_suppkey % 3 = 0 THEN 'n' || s_nationkey ELSE '*' END AS to_set FROM supplier",
     "sdc_ignored": "SELECT DISTINCT user_id, CASE event_type WHEN 'click' THEN 'set_driving_cell' WHEN 'view' THEN 'set_max_area' ELSE 'group_path' END AS command, event_type <> 'view' AS affects FROM events WHERE event_type IN ('click', 'view', 'error')",
     "spef_units_triplets": "WITH " + _F + " SELECT 'net[' || c || ']' AS net, sum(v) * 1000.0 AS cap_ff, sum(v) * 1000.0 AS gcap_ff, count(*) AS n_gcap, coalesce(sum(CASE WHEN o % 7 <> 0 THEN o % 100 END), 0) * 1000.0::DOUBLE AS res_ohm FROM o GROUP BY 1, c",
     "spef_health": "WITH " + _F + " SELECT count(*) FILTER (o % 7 = 0) AS skipped, true AS triplets, 0 AS reduced, 0 AS pnets FROM o",
     "spef_roundtrip": "WITH " + _F + " SELECT 'net[' || c || ']' AS net, sum(v) * 1000.0 AS cap_ff, sum(v) * 1000.0 AS gcap_ff FROM o GROUP BY 1, c",
     "lef_layers": "WITH l AS (SELECT p_brand, p_type, min(p_size) AS w FROM part GROUP BY 1, 2), a AS (SELECT p_brand, count(*) AS n_routing, CAST(sum(w) AS DOUBLE) AS layer_width, count(*) - 1 AS last_ord FROM l GROUP BY 1), m AS (SELECT p_brand, count(*) AS n_macros, CAST(sum(p_size) AS DOUBLE) AS width, count(*) AS n_inputs FROM part GROUP BY 1) SELECT * FROM a JOIN m USING (p_brand)",
     "def_segments": "SELECT 'o' || o_orderkey AS net, 2 AS n_segs, round((1000 + v + 1000 + v) / 2000.0, 6)::DOUBLE AS len_um, 1 AS n_horizontal, round(((1000 + v) / 2000.0 + 0.2) * 0.2 + ((1000 + v) / 2000.0 + 0.2) * 0.2, 6)::DOUBLE AS area FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 100) AS BIGINT) AS v FROM orders)",
-    "def_pins_oriented": """WITH p AS (SELECT 'p' || p_partkey AS pin, p_partkey % 8 AS o, p_size AS s, p_partkey * 10 AS x FROM part WHERE p_size <= 20),
+    "def_pins_oriented": """WITH p AS (SELECT 'p' || p_partkey AS pin, p_partkey % 8 AS o, p_size AS s, p_partkey * 10 AS x FROM part),
 q AS (SELECT *, CASE WHEN o IN (0, 5) THEN -10 WHEN o IN (1, 4) THEN -s WHEN o IN (3, 6) THEN 0 ELSE -40 END AS ax, CASE WHEN o IN (0, 5) THEN s WHEN o IN (1, 4) THEN 10 WHEN o IN (3, 6) THEN 40 ELSE 0 END AS bx, CASE WHEN o IN (0, 4) THEN 0 WHEN o IN (1, 5) THEN -40 WHEN o IN (2, 6) THEN -10 ELSE -s END AS ay, CASE WHEN o IN (0, 4) THEN 40 WHEN o IN (1, 5) THEN 0 WHEN o IN (2, 6) THEN s ELSE 10 END AS by_ FROM p)
 SELECT pin, x + ax AS x1, 500 + ay AS y1, x + bx AS x2, 500 + by_ AS y2 FROM q""",
-    "liberty_cells": "SELECT 'c' || p_partkey AS cell, p_size::DOUBLE AS area, round((p_size + 3) / 2.0, 6)::DOUBLE AS leakage_nw, true AS is_seq, 'f' || (p_partkey % 4) AS cell_footprint, 'R' AS resets, round((0 + 5 + p_size + p_size + 5) / 4.0, 6)::DOUBLE AS delay FROM part WHERE p_size <= 10",
+    "liberty_cells": "SELECT 'c' || p_partkey AS cell, p_size::DOUBLE AS area, round((p_size + 3) / 2.0, 6)::DOUBLE AS leakage_nw, true AS is_seq, 'f' || (p_partkey % 4) AS cell_footprint, 'R' AS resets, round((0 + 5 + p_size + p_size + 5) / 4.0, 6)::DOUBLE AS delay FROM part",
     "spice_flatten": """SELECT 'X' || n_nationkey || '/' AS path, u.kind, u.name, CASE u.name WHEN 'M1' THEN 'in' || n_nationkey || ' X' || n_nationkey || '/n1 out vss' WHEN 'R1' THEN 'X' || n_nationkey || '/n1 0' ELSE 'in' || n_nationkey || ' out vss vss' END AS nodes, u.v::DOUBLE AS value FROM nation, (VALUES ('M', 'M1', 1e-6), ('R', 'R1', 1000.0), ('M', 'X9', 0.0)) u(kind, name, v)""",
     "em_by_net": "SELECT 'o' || l_orderkey AS net, count(*) AS n_segments, round(sum(l_quantity), 4) AS length_um, round(sum(round(l_discount * 10, 6)), 4) AS res_ohm, round(min(round(l_tax + 0.5, 6)), 4)::DOUBLE AS min_width_um FROM lineitem GROUP BY 1",
     "klayout_net": "SELECT 'o' || l_orderkey AS net, sum(floor(l_quantity)) AS cap, count(*) AS n, sum(floor(l_quantity)) * 2 AS res FROM lineitem GROUP BY 1",
     "name_parts": "SELECT p_partkey, 'a/b' || p_partkey AS inst, 'Y' AS pin, CASE WHEN p_partkey % 3 = 0 THEN 'x' END AS base, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS bit, 'n[' || p_partkey || ']' AS plain, CAST(p_partkey AS VARCHAR) AS leaf, 'A' || p_partkey || ',b_c' AS idents FROM part",
-    "port_expand": "SELECT p_partkey, 'd[' || u || ']' AS port FROM (SELECT p_partkey, unnest(range(least(p_size, 2), greatest(p_size, 2) + 1)) AS u FROM part WHERE p_size <= 20 AND p_partkey % 2 = 0) UNION ALL SELECT p_partkey, 'd' FROM part WHERE p_size <= 20 AND p_partkey % 2 <> 0",
+    "port_expand": "SELECT p_partkey, 'd[' || u || ']' AS port FROM (SELECT p_partkey, unnest(range(least(p_size, 2), greatest(p_size, 2) + 1)) AS u FROM part WHERE p_partkey % 2 = 0) UNION ALL SELECT p_partkey, 'd' FROM part WHERE p_partkey % 2 <> 0",
     "spice_numbers": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size * 1e3 WHEN 1 THEN p_size * 1e6 WHEN 2 THEN p_size * 1e-6 WHEN 3 THEN p_size::DOUBLE WHEN 4 THEN p_size * 1e-9 END AS v FROM part",
     "rc_from_spef": "WITH " + _F + " SELECT 'net[' || c || ']' AS net, 'net[' || c || ']:' || o AS node, round((o % 100) * 1000.0 * v * 1000.0 * 1e-6, 6)::DOUBLE AS delay FROM o WHERE o % 7 <> 0",
 }

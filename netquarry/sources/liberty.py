@@ -115,7 +115,7 @@ def parse(text: str, skip_ccs: bool = False) -> dict:
     cells: dict[str, Group] = {g.args[0]: g for g in lib.of("cell") if g.args}
     if not cells:
         raise ValueError("no cells")
-    d: dict = {"name": (lib.args or [""])[0], "voltage": lib.num("nom_voltage", 1.8), "thresholds": {k: float(v) for k, v in lib.attrs.items() if "threshold" in k and _floats([v])}, "cells": [], "pins": [], "arcs": [], "constraints": [], "receivers": [], "ccs": []}
+    d: dict = {"name": (lib.args or [""])[0], "voltage": lib.num("nom_voltage", 1.8), "thresholds": {k: float(v) for k, v in lib.attrs.items() if ("threshold" in k or k == "slew_derate_from_library") and _floats([v])}, "cells": [], "pins": [], "arcs": [], "constraints": [], "receivers": [], "ccs": []}
     for name, c in sorted(cells.items()):
         pins = {p: g for g in c.of("pin") for p in g.args}
         ff = (c.of("ff") + c.of("latch") or [None])[0]
