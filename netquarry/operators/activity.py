@@ -25,11 +25,20 @@ def level(value: Column | str) -> Column:
     return F.when(c.isin("0", "l"), 0).when(c.isin("1", "h"), 1)
 
 
+def _order(rows: DataFrame, seq: str, block: int | None) -> tuple[Column, list[Column]]:
+    """The block of a row and what it is sorted by: seq is a number, or a struct whose first field, such as the start of a file's split,
+    is the block."""
+    kind = rows.schema[seq].dataType
+    if hasattr(kind, "fields"):
+        return F.col(f"{seq}.{kind.fields[0].name}"), [F.col(f"{seq}.{f.name}") for f in kind.fields]
+    return F.floor(F.col(seq) / (block or BLOCK)), [F.col(seq)]
+
+
 def carried(rows: DataFrame, key: list[str], seq: str, value: Column, name: str, block: int | None = None) -> DataFrame:
     """rows with `name`: the last known `value` before the row, within its key, in the order of seq."""
-    block = block or BLOCK
-    r = rows.withColumn("_v", value).withColumn("_b", F.floor(F.col(seq) / block))
-    inside = Window.partitionBy(*key, "_b").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    at, order = _order(rows, seq, block)
+    r = rows.withColumn("_v", value).withColumn("_b", at)
+    inside = Window.partitionBy(*key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ends = r.filter("_v is not null").groupBy(*key, "_b").agg(F.max_by("_v", seq).alias("_last"))
     # a row per key and block, with the last value it knows
     every = r.select(*key, "_b").distinct().join(ends, [*key, "_b"], "left")
@@ -39,6 +48,16 @@ def carried(rows: DataFrame, key: list[str], seq: str, value: Column, name: str,
     return out.withColumn(name, F.coalesce("_in", "_carry")).drop("_v", "_b", "_in", "_carry")
 
 
+def running(rows: DataFrame, key: list[str], seq: str, value: Column, name: str, block: int | None = None) -> DataFrame:
+    """rows with `name`: the sum of `value` up to and with the row, within its key, in the order of seq; by blocks as carried()."""
+    at, order = _order(rows, seq, block)
+    r = rows.withColumn("_v", value).withColumn("_b", at)
+    inside = Window.partitionBy(*key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    every = r.groupBy(*key, "_b").agg(F.sum("_v").alias("_sum")).withColumn("_front", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    return r.withColumn("_in", F.sum("_v").over(inside)).join(every, [*key, "_b"]).withColumn(name, F.col("_in") + F.col("_front")).drop("_v", "_b", "_in", "_front")
+
+
 def toggles(changes: DataFrame, key: list[str] | None = None, block: int | None = None) -> DataFrame:
     """changes with toggle: 1 where the known level differs from the last known one."""
     key = key or ["net"]
@@ -138,6 +157,22 @@ def fold_tail(counts: DataFrame, bounds: DataFrame, key: list[str] | None = None
     return c.withColumn("win", F.least("win", "_last")).groupBy("win", *key).agg(F.sum("n_toggles").alias("n_toggles"), F.sum("n_events").alias("n_events"))
 
 
+def every_window(counts: DataFrame, bounds: DataFrame, nets: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """counts with a row for every window of the sweep and every net, 0 where nothing happened. nets holds the key once a net; windows are
+    at most MOST_WINDOWS."""
+    key = key or ["net"]
+    grid = nets.select(*key).crossJoin(F.broadcast(bounds.select("win")))  # the result has a row for each of these pairs
+    return grid.join(counts, ["win", *key], "left").fillna(0, ["n_toggles", "n_events"])
+
+
+def window_rates(nets: DataFrame, counts: DataFrame, bounds: DataFrame, scope: str = "", key: str = "path") -> DataFrame:
+    """nets (net) with the rate of the path each resolves to in every window: toggles a second, 0 where nothing happened, the window has no
+    duration or the net is unresolved. counts: win, path, n_toggles."""
+    r = resolve(nets, counts.select(F.col(key).alias("path")).distinct(), scope).crossJoin(F.broadcast(bounds.select("win", "seconds")))
+    c = r.join(counts.withColumnRenamed(key, "path").select("win", "path", "n_toggles"), ["win", "path"], "left")
+    return c.select("win", "net", "path", F.coalesce(F.try_divide(F.col("n_toggles").cast("double"), F.nullif("seconds", F.lit(0.0))), F.lit(0.0)).alias("rate"))
+
+
 def rates(nets: DataFrame, counts: DataFrame, seconds: Column, scope: str = "") -> DataFrame:
     """nets (net) with the rate of the path each resolves to: toggles a second, 0 where unresolved or without duration."""
     r = resolve(nets, counts.select("path"), scope)

@@ -72,13 +72,110 @@ def test_blocks_do_not_matter(spark):
             A.n_windows(*bad)
 
 
-def test_annotated_copy():
-    src = DUMP.split("\n")
-    out = vcd.annotate(src, "power", {"p": [(0.0, 1.0), (5.0, 2.5)], "q": [(99.0, 3.0)]})
-    assert [x for x in out if x in src] == src
-    d, _ = vcd.header(out)
-    assert {"power.p", "power.q"} <= {x["path"] for x in d} and len({x["sym"] for x in d}) == 6
-    assert out.index("#5") > out.index("#3.5") and out.index("#5") < out.index("#7") and out[-2] == "#99"
+FREE = """$timescale 1 ns $end $scope module t $end
+$var wire 1 ! a $end $var wire 1 b b $end $var wire 4 r r $end $var real 64 s s $end
+$upscope $end $enddefinitions $end #0 $dumpvars 0! 1b
+b0101 r r0.5 s $end
+  $comment here #999 1! is no change
+ b1 ! 0b
+   r9 s $end #5 1!
+	#6
+b0011
+r
+bx01
+  b
+b1111 r 0!
+$comment one line #7 1! $end 1!
+#7.5   $dumpoff x! xb $end $dumpon
+r1.5
+s 0b r2.5 s b1 b
+S
+b b0 b $end
+#nan
+0!"""
+
+
+def plain_scan(text):
+    """Word by word, as the format is defined."""
+    words, out, tick, k, body = text.split(), [], 0.0, 0, False
+    while k < len(words):
+        w = words[k]
+        k += 1
+        if not body:
+            body = w == "$enddefinitions"
+        elif w == "$comment":
+            while words[k] != "$end":
+                k += 1
+        elif w[0] == "#":
+            t = float(w[1:])
+            tick = t if t == t else tick
+        elif w[0] in "bBrRsS":
+            out.append((tick, words[k] if k < len(words) else None, w[1:]))
+            k += 1
+        elif w[0] in vcd.LEVELS and len(w) > 1:
+            out.append((tick, w[1:], w[0]))
+    return out
+
+
+def test_free_form_dump(spark):
+    want = plain_scan(FREE)
+    for text in (FREE, " ".join(FREE.split()), "\n".join(FREE.split())):
+        assert plain_scan(text) == want
+        _, c = vcd.scan(lines(spark, text))
+        assert [(r.tick, r.sym, r.value) for r in c.orderBy("seq").collect()] == want
+    rnd = random.Random(4)
+    for _ in range(2):
+        words = [x for _ in range(150) for x in (rnd.choice(["0b", "1!", "b1 b", "b10 r", "r1 s", "S b", "bb r", "#%d" % rnd.randrange(9), "$comment b0 #3 1! $end", "$dumpvars", "$end", "zs"])).split()]
+        text = "$enddefinitions $end " + "".join(w + rnd.choice([" ", " ", "\n", "\n \n"]) for w in words)
+        _, c = vcd.scan(lines(spark, text))
+        assert [(r.tick, r.sym, r.value) for r in c.orderBy("seq").collect()] == plain_scan(text)
+
+
+def test_many_changes_in_a_line_and_a_dump_beyond_8_gib(spark):
+    head = [(0, 0, "$var wire 1 ! a $end $enddefinitions $end")]
+    far = 9 << 30  # the second split starts there
+    rows = head + [(0, 1, "#1 " + " ".join("01"[k % 2] + "!" for k in range(1800))), (far, 0, "#2"), (far, 1, "0!"), (far, 2, "#3"), (far, 3, "1!")]
+    df = spark.createDataFrame([(1, a, b, x) for a, b, x in rows], "src_id long, a long, b long, line string").select("src_id", F.struct(F.col("a").alias("start"), F.col("b").alias("line")).alias("seq"), "line")
+    _, c = vcd.scan(df)
+    assert A.toggle_count(c.withColumnRenamed("sym", "net")).first().n_toggles == 1799 + 2
+    assert [r.tick for r in c.orderBy("seq").collect()][-2:] == [2.0, 3.0]
+
+
+def test_lines_of_a_file_in_splits(spark, tmp_path):
+    text = "\n".join(f"line {k}" for k in range(5000))
+    (tmp_path / "a.txt").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = vcd.read_lines(spark, str(tmp_path / "a.txt"))
+        assert got.select("seq.start").distinct().count() > 3
+        assert [r.line for r in got.orderBy("seq").collect()] == text.split("\n")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_annotated_copy(spark):
+    src = ["$timescale 10ns $end", "$scope module t $end", "$var wire 1 ! a $end", "$upscope $end", "$enddefinitions $end", "$dumpvars", "0!", "$end", "#3", "1!", "#7", "0!", "#7", "#9", "1!"]
+    series = [("p", 0.0, 1.0), ("p", 5e-8, 2.5), ("p", 7e-8, 3.25), ("q", 0.0, -0.125), ("q", 2.96e-8, 1e-12), ("q", 9e-6, 3.0)]
+    out, stats = vcd.annotate(lines(spark, "\n".join(src)), "power", spark.createDataFrame(series, "name string, t_s double, value double"))
+    got = [r.line for r in out.orderBy("at").collect()]
+    p, q = "~!1", "~!2"
+    assert got == [
+        *src[:4], "$scope module power $end", f"$var real 64 {p} p $end", f"$var real 64 {q} q $end", "$upscope $end", *src[4:7], f"r1.000000e0 {p}", f"r-1.250000e-1 {q}", "$end",
+        "#3", f"r1.000000e-12 {q}", "1!", "#5", f"r2.500000e0 {p}", "#7", f"r3.250000e0 {p}", "0!", "#7", "#9", "1!",
+    ]
+    assert tuple(stats.first())[1:] == (2, 5, 1, 1e-8)
+
+
+def test_every_window_of_a_bounded_sweep(spark):
+    df = spark.createDataFrame([("t.a", 1, 5, "0"), ("t.a", 2, 12, "1"), ("t.b", 3, 55, "0")], "path string, seq long, tick long, value string")
+    b = A.sweep_bounds(spark, 0, 60, 20, 20, 50, 1e-9)
+    counts = A.sweep(df, 0, 60, 20, 20, ["path"])
+    full = {(r.win, r.path): (r.n_toggles, r.n_events) for r in A.every_window(counts, b, df.select("path").distinct(), ["path"]).collect()}
+    assert full == {(0, "t.a"): (1, 2), (1, "t.a"): (0, 0), (2, "t.a"): (0, 0), (0, "t.b"): (0, 0), (1, "t.b"): (0, 0), (2, "t.b"): (0, 1)}
+    nets = spark.createDataFrame([("a",), ("b",), ("c",)], "net string")
+    got = {(r.win, r.net): r.rate for r in A.window_rates(nets, counts, b, "t").collect()}
+    assert len(got) == 9 and abs(got[0, "a"] - 5e7) < 1 and sum(got.values()) == got[0, "a"]
 
 
 def block(kind, body):
