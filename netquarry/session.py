@@ -119,22 +119,31 @@ class DesignSession:
         return {k: v.count() for k, v in sorted(self.tables.items()) if "_" in k}
 
     def health(self) -> dict[str, str | None]:
-        """One line on what was skipped, by kind; None where nothing was."""
+        """One line on what was skipped or needs care, by kind; None where nothing does."""
         out: dict[str, str | None] = {}
         if "netlist_conns" in self.tables and "behavioural" in self.tables["netlist"].columns:
-            r = self.tables["netlist"].agg(F.sum("behavioural").alias("b"), F.sum("positional").alias("p")).first()
-            out["netlist"] = "; ".join([*([f"{r.b} behavioural constructs: not a gate-level netlist"] if r.b else []), *([f"{r.p} positional connections carry no pin name"] if r.p else [])]) or None
+            size = lambda c: F.coalesce(F.size(c), F.lit(0))
+            r = self.tables["netlist"].agg(F.sum("behavioural").alias("b"), F.sum("positional").alias("p"), F.sum(size("aliases")).alias("a"), F.max(F.struct(size("modules").alias("m"), "top")).alias("most")).first()
+            notes = [f"{r.most.m} modules in a file; {r.most.top}, which none instantiates, is the top"] if r.most and r.most.m > 1 else []
+            notes += [f"{r.p} positional connections carry no pin name"] if r.p else []
+            notes += [f"{r.a} aliases: two names of one net"] if r.a else []
+            notes += [f"{r.b} behavioural constructs: not a gate-level netlist"] if r.b else []
+            out["netlist"] = "; ".join(notes) or None
         if "spef_health" in self.tables:
             r = self.tables["spef_health"].agg(*[F.sum(c).alias(c) for c in ("skipped", "reduced", "pnets")], F.bool_or("triplets").alias("triplets")).first()
             parts = [f"{r[c]} {t}" for c, t in (("skipped", "entries could not be read"), ("reduced", "reduced nets skipped"), ("pnets", "physical nets skipped")) if r[c]]
             out["spef"] = "; ".join(parts + (["triplets: the first value is used"] if r.triplets else [])) or None
         if "lef_units" in self.tables:
-            u = [f"{r.quantity} in {r.factor:g}" for r in self.tables["lef_units"].filter("factor <> 1").select("quantity", "factor").distinct().limit(20).collect()]
-            out["lef"] = ("unit factors not applied: " + ", ".join(sorted(u))) if u else None
+            r = self.tables["lef_units"].filter("factor <> 1").agg(F.count_distinct("quantity", "factor").alias("n"), F.min(F.struct("quantity", "factor")).alias("first")).first()
+            out["lef"] = f"{r.n} unit factors not applied, the first: {r.first['quantity']} in {r.first['factor']:g}" if r.n else None
         if "sdc_ignored" in self.tables:
-            names = sorted(r.command for r in self.tables["sdc_ignored"].select("command").distinct().limit(1000).collect())
-            hard = sdc.ignored_affecting_timing(names)
-            out["sdc"] = (f"{len(names)} commands ignored" + (f", of which these can move a slack: {', '.join(hard)}" if hard else "")) if names else None
+            ignored = self.tables["sdc_ignored"]
+            n = ignored.agg(F.count_distinct("command").alias("n")).first()["n"]
+            hard = sorted(r.command for r in ignored.filter(F.col("command").isin(sdc.TIMING_AFFECTING)).select("command").distinct().collect())  # no more than that list
+            notes = [f"{n} commands ignored" + (f", of which these can move a slack: {', '.join(hard)}" if hard else "")] if n else []
+            usable = F.coalesce((F.col("period") > 0) & (F.col("period") < float("inf")), F.lit(False))
+            r = self.tables["sdc_clocks"].filter(~usable).agg(F.count("*").alias("n"), F.min("name").alias("first")).first()
+            out["sdc"] = "; ".join(([f"{r.n} clocks without a usable period, the first: {r.first}"] if r.n else []) + notes) or None
         return out
 
     def summary(self) -> str:
@@ -152,27 +161,50 @@ def library_json(cells: DataFrame, pins: DataFrame, arcs: DataFrame) -> DataFram
     return cells.join(p, "cell", "left").select("cell", F.to_json(F.struct("cell", "area", "leakage_w", "is_seq", "cell_footprint", "pins")).alias("json"))
 
 
+HELP = """netquarry inspect [--json] FILE...   what the files hold
+netquarry check FILE...              whether they can be read
+netquarry version | help
+  -v, --verbose   name each file that is loaded     -q, --quiet   no errors
+  --describe      what this tool offers, as JSON    -V, --version"""
+DESCRIBE = {"name": "netquarry", "kind": "multi-command", "summary": "reads netlists, libraries, constraints, parasitics and layout into DataFrames", "commands": ["inspect", "check"], "limits": ["tells what the named files hold, not whether they describe one design"]}
+
+
 def main(argv: list[str]) -> int:
-    """inspect [--json] FILE..., check FILE..., version: 0 if all files load, 1 if one fails, 2 for a wrong call."""
+    """inspect, check, version, help: 0 if all files load, 1 if one fails, 2 for a wrong call."""
     from netquarry import __version__
     from netquarry.core import local_session
 
-    if argv[:1] == ["version"]:
+    known = {"--json", "-h", "--help", "-v", "--verbose", "-q", "--quiet", "-V", "--version", "--describe", "-vv", "-qq"}
+    flags, words = {a for a in argv if a.startswith("-")}, [a for a in argv if not a.startswith("-")]
+    if "--describe" in flags:
+        print(json.dumps(DESCRIBE))
+        return 0
+    if flags & {"-V", "--version"} or words[:1] == ["version"]:
         print(__version__)
         return 0
-    flags, files = [a for a in argv[1:] if a.startswith("-")], [a for a in argv[1:] if not a.startswith("-")]
-    if argv[:1] not in (["inspect"], ["check"]) or not files or set(flags) - {"--json"}:
-        print(main.__doc__)
+    if flags - known:
+        print(f"unknown option {sorted(flags - known)[0]}; try --help")
+        return 2
+    if flags & {"-h", "--help"} or not words or words[0] == "help":
+        print(HELP)
+        return 0
+    if words[0] not in ("inspect", "check") or len(words) == 1:
+        print(f"unknown command {words[0]}; try --help" if words[0] not in ("inspect", "check") else f"{words[0]}: no files")
         return 2
-    d, failed = DesignSession(local_session(), cache=False), []
-    for f in files:
+    loud, d, failed = len(flags & {"-v", "--verbose", "-vv"}) - len(flags & {"-q", "--quiet", "-qq"}), DesignSession(local_session(), cache=False), []
+    for f in words[1:]:
         try:
-            d.load(f)
+            kind = d.load(f)
+            if loud > 0:
+                print(f"{kind}: {f}")
         except Exception as e:  # noqa: BLE001  every file is tried
             failed.append(f"{f}: {str(e).splitlines()[0]}")
-    if argv[0] == "inspect":
+    if loud >= 0 and failed:
+        print("\n".join(failed))
+    if words[0] == "inspect":
         print(d.to_json() if "--json" in flags else d.summary())
-    print("\n".join(failed), end="\n" if failed else "")
+    else:
+        print(f"FAIL: {len(failed)} of {len(words) - 1} files failed" if failed else f"PASS: {len(words) - 1} files read")
     return 1 if failed else 0
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.core import materialise
+
 HEADER, VCDATA, HIER, ALIAS, HIER_LZ4, HIER_LZ4DUO, ALIAS2 = 0, 1, 4, 5, 6, 7, 8
 # Codes of the other states of a scalar, variable types of real and text signals.
 STATES = "xzhuwl-?"
@@ -82,15 +84,21 @@ def lz4_block(b: bytes, size: int) -> bytes:
 
 
 def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """The blocks of a file up to its end, or to a block that was still being written when the dump was broken off."""
     at = 0
     while at + 9 <= len(data):
         kind, n = data[at], struct.unpack(">Q", data[at + 1 : at + 9])[0]
+        if kind == UNFINISHED or n == 0:
+            return
         if n < 8 or at + 1 + n > len(data):
             raise ValueError("a block is cut off")
         yield kind, data[at + 9 : at + 1 + n]
         at += 1 + n
 
 
+UNFINISHED = 255
+
+
 def read_header(b: bytes) -> dict:
     start, end = struct.unpack(">QQ", b[:16])
     exponent = struct.unpack("b", b[64:65])[0]
@@ -292,17 +300,53 @@ def read_changes(kind: int, b: bytes, widths: dict[int, tuple[int, int]], window
 
 
 def _fastlz(b: bytes, size: int) -> bytes:
-    raise ValueError(f"value changes packed by a method that is not supported ({size} bytes)")
+    """Decompresses FastLZ of either level, which the top bits of the first byte tell."""
+    second, out, at = b[0] >> 5 == 1, bytearray(), 1
+    if b[0] >> 5 > 1:
+        raise ValueError("an unknown level of compression")
+    ctrl = b[0] & 31
+    while True:
+        if ctrl < 32:
+            out += b[at : at + ctrl + 1]
+            at += ctrl + 1
+        else:
+            n, far = (ctrl >> 5) - 1, (ctrl & 31) << 8
+            while n >= 6:
+                n += b[at]
+                at += 1
+                if not second or b[at - 1] != 255:
+                    break
+            near = b[at]
+            at += 1
+            back = far + near + 1
+            if second and near == 255 and far == 31 << 8:
+                back = (b[at] << 8) + b[at + 1] + 8191 + 1
+                at += 2
+            if back > len(out):
+                raise ValueError("a match before the start")
+            for _ in range(n + 3):
+                out.append(out[-back])
+        if at >= len(b):
+            break
+        ctrl = b[at]
+        at += 1
+    if len(out) != size:
+        raise ValueError(f"{len(out)} bytes instead of {size}")
+    return bytes(out)
 
 
-COUNTS = "src_id long, path string, bit long, n_toggles long, tick_s double, span double"
+COPIES = 16  # of a file's hierarchy: tasks among which its blocks are spread
+BLOCK_SCHEMA = pa.schema([("src_id", pa.int64()), ("place", pa.int32()), ("kind", pa.int32()), ("head", pa.binary()), ("body", pa.binary())])
+NAME_SCHEMA = pa.schema([("src_id", pa.int64()), ("path", pa.string()), ("handle", pa.int64()), ("bit", pa.int64()), ("seconds", pa.float64())])
+COUNT_SCHEMA = pa.schema([("src_id", pa.int64()), ("handle", pa.int64()), ("bit", pa.int64()), ("n_toggles", pa.int64())])
 
 
 def scan(files: DataFrame, window: tuple[int, int | None] | None = None) -> DataFrame:
     """files (src_id, content) -> src_id, path, bit, n_toggles and rate, by name: aliases are credited each.
 
-    The blocks of a file are found first and decoded as rows of their own."""
-    block = "src_id long, head binary, hier_kind int, hier binary, kind int, body binary"
+    The blocks of a file are found first and decoded as rows of their own; its hierarchy goes once to each of COPIES places among which
+    they are spread. Blocks give the bits that toggle, by handle; names are joined at the end. A file that was broken off gives what its
+    finished blocks hold."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -312,23 +356,38 @@ def scan(files: DataFrame, window: tuple[int, int | None] | None = None) -> Data
                 hier = next(((k, x) for k, x in got if k in (HIER, HIER_LZ4, HIER_LZ4DUO)), None)
                 if head is None or hier is None:
                     raise ValueError(f"source {src}: no header or hierarchy")
-                for k, x in [(k, x) for k, x in got if k in (VCDATA, ALIAS, ALIAS2)] or [(-1, b"")]:
-                    yield pa.RecordBatch.from_pylist([{"src_id": src, "head": head, "hier_kind": hier[0], "hier": hier[1], "kind": k, "body": x}], schema=pa.schema([("src_id", pa.int64()), ("head", pa.binary()), ("hier_kind", pa.int32()), ("hier", pa.binary()), ("kind", pa.int32()), ("body", pa.binary())]))
+                changes = [(k, x) for k, x in got if k in (VCDATA, ALIAS, ALIAS2)]
+                for place in range(max(1, min(COPIES, len(changes)))):
+                    yield pa.RecordBatch.from_pylist([{"src_id": src, "place": place, "kind": -hier[0], "head": head, "body": hier[1]}], schema=BLOCK_SCHEMA)
+                for n, (k, x) in enumerate(changes):
+                    yield pa.RecordBatch.from_pylist([{"src_id": src, "place": n % COPIES, "kind": k, "head": None, "body": x}], schema=BLOCK_SCHEMA)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, widths = None, {}
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                if r["head"] is not None:
+                    if r["src_id"] != src:
+                        src, widths = r["src_id"], {h: (w, t) for _, h, w, t in reversed(read_hierarchy(-r["kind"], r["body"]))}
+                    continue
+                rows += [{"src_id": src, "handle": h, "bit": bit, "n_toggles": n} for (h, bit), n in read_changes(r["kind"], r["body"], widths, window).items() if n]
+            yield pa.RecordBatch.from_pylist(rows, schema=COUNT_SCHEMA)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                head, names = read_header(r["head"]), read_hierarchy(r["hier_kind"], r["hier"])
-                widths = {h: (w, t) for _, h, w, t in reversed(names)}
-                n = read_changes(r["kind"], r["body"], widths, window) if r["kind"] >= 0 else {}
+                head = read_header(r["head"])
                 lo = max(head["start"], window[0]) if window else head["start"]
                 hi = min(head["end"], window[1]) if window and window[1] is not None else head["end"]
-                for path, h, w, t in names:
-                    for bit in [-1] if t in REAL_TYPES else [] if t == TEXT_TYPE else range(w):
-                        rows.append({"src_id": r["src_id"], "path": path, "bit": bit, "n_toggles": n.get((h, bit), 0), "tick_s": head["tick_s"], "span": max(0.0, float(hi - lo)) * head["tick_s"]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("src_id", pa.int64()), ("path", pa.string()), ("bit", pa.int64()), ("n_toggles", pa.int64()), ("tick_s", pa.float64()), ("span", pa.float64())]))
-
-    parts = files.select("src_id", "content").mapInArrow(cut, block).repartition(F.col("src_id"), F.xxhash64("body"))
-    n = parts.mapInArrow(decode, COUNTS).groupBy("src_id", "path", "bit").agg(F.sum("n_toggles").alias("n_toggles"), F.max("span").alias("seconds"))
-    return n.withColumn("rate", F.coalesce(F.try_divide(F.col("n_toggles").cast("double"), F.nullif("seconds", F.lit(0.0))), F.lit(0.0)))
+                for path, h, w, t in read_hierarchy(-r["kind"], r["body"]):
+                    rows += [{"src_id": r["src_id"], "path": path, "handle": h, "bit": bit, "seconds": max(0.0, float(hi - lo)) * head["tick_s"]} for bit in ([-1] if t in REAL_TYPES else [] if t == TEXT_TYPE else range(w))]
+            yield pa.RecordBatch.from_pylist(rows, schema=NAME_SCHEMA)
+
+    parts = materialise(files.select("src_id", "content").mapInArrow(cut, "src_id long, place int, kind int, head binary, body binary"), "fst_blocks")
+    names = parts.filter("head is not null and place = 0").mapInArrow(named, "src_id long, path string, handle long, bit long, seconds double")
+    spread = parts.repartition("src_id", "place").sortWithinPartitions("src_id", "place", F.col("head").isNull())
+    n = spread.mapInArrow(decode, "src_id long, handle long, bit long, n_toggles long").groupBy("src_id", "handle", "bit").agg(F.sum("n_toggles").alias("n"))
+    out = names.join(n, ["src_id", "handle", "bit"], "left").groupBy("src_id", "path", "bit").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n_toggles"), F.max("seconds").alias("seconds"))
+    return out.withColumn("rate", F.coalesce(F.try_divide(F.col("n_toggles").cast("double"), F.nullif("seconds", F.lit(0.0))), F.lit(0.0)))

@@ -33,7 +33,7 @@ def table(parsed: DataFrame, column: str) -> DataFrame:
 
 
 def check(parsed: DataFrame) -> None:
-    """Raises for the first file that failed, naming how many did."""
-    bad = parsed.filter("error is not null").select("src_id", "error").limit(5).collect()
-    if bad:
-        raise ValueError("; ".join(f"source {r.src_id}: {r.error}" for r in bad))
+    """Raises if files failed, telling how many did, and the first one's error."""
+    bad = parsed.filter("error is not null").agg(F.count("*").alias("n"), F.min(F.struct("src_id", "error")).alias("first")).first()
+    if bad["n"]:
+        raise ValueError(f"{bad['n']} of the files failed; source {bad['first']['src_id']}: {bad['first']['error']}")
