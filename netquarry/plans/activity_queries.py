@@ -43,6 +43,32 @@ def toggle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decls.select(F.col("sym").alias("net"), "path").join(counted, "net").select("path", "n_toggles")
 
 
+def vcd_free_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a dump in free form: comments that hold changes, dump commands and several changes in a line, a value and its symbol
+    in two lines, two names for each code. Every name is credited."""
+    c = changes(spark, sf_dir)
+    net, k = F.col("net"), F.col("seq") % 4
+    head = spark.range(1).select(F.lit(0).cast("long").alias("seq"), F.lit("$timescale 1us $end $scope module top $end").alias("line"))
+    decl = c.select("net").distinct().select(F.lit(1).cast("long").alias("seq"), F.concat(F.lit("$var wire 1 "), net, F.lit(" "), net, F.lit(" $end $var wire 1 "), net, F.lit(" same_"), net, F.lit(" $end")).alias("line"))
+    close = spark.range(1).select(F.lit(2).cast("long").alias("seq"), F.lit("$upscope $end $enddefinitions $end").alias("line"))
+    time, change = F.concat(F.lit("#"), F.col("tick").cast("string")), F.concat("value", net)
+    one = F.when(k == 0, F.concat(F.lit("  "), time, F.lit(" "), change)).when(k == 1, F.concat(F.lit("$comment #1 0"), net, F.lit(" 1"), net)).when(k == 2, F.concat(time, F.lit(" $dumpvars "), change)).otherwise(F.concat(F.lit("\t"), time, F.lit(" b"), F.col("value")))
+    two = F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit("x"), net, F.lit(" $end "), time, F.lit(" "), change)).when(k == 2, F.lit("$end $dumpoff $end")).otherwise(F.concat(F.lit(" "), net))
+    body = c.select((F.col("seq") * 2 + 10).alias("seq"), F.inline(F.array(F.struct(F.lit(0).alias("k"), one.alias("line")), F.struct(F.lit(1).alias("k"), two.alias("line")))))
+    lines = head.unionByName(decl).unionByName(close).unionByName(body.select((F.col("seq") + F.col("k")).alias("seq"), "line")).withColumn("src_id", F.lit(1).cast("long"))
+    decls, found = vcd.scan(lines)
+    counted = A.toggle_count(found.filter("length(value) = 1").withColumnRenamed("sym", "net"))
+    return decls.select(F.col("sym").alias("net"), "path").join(counted, "net").select("path", "n_toggles")
+
+
+def sweep_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of every net in every window of a bounded sweep; most windows are empty."""
+    c = changes(spark, sf_dir).withColumn("path", F.concat(F.lit("tb.dut."), F.col("net")))
+    b = A.sweep_bounds(spark, START, END, 24 * HOUR, 48 * HOUR, END, 1e-6)
+    nets = c.select("net").distinct().unionByName(spark.createDataFrame([("unknown",)], "net string"))
+    return A.window_rates(nets, A.sweep(c, START, END, 24 * HOUR, 48 * HOUR, ["path"]), b, "dut").select("win", "net", F.round("rate", 9).alias("rate"))
+
+
 def toggle_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.window_toggles(changes(spark, sf_dir), START + 24 * HOUR, START + 72 * HOUR)
 
@@ -109,7 +135,7 @@ def leaf_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "toggle_count": toggle_count, "toggle_window": toggle_window, "toggle_sweep_tumbling": _sweep(12, 12), "toggle_sweep_hopping": _sweep(6, 2), "toggle_sweep_gapped": _sweep(2, 8),
-    "sweep_folded_tail": sweep_folded_tail, "net_rates": net_rates, "real_changes": real_changes, "vector_toggles": vector_toggles, "saif_rate": saif_rate, "net_resolve": net_resolve, "leaf_collisions": leaf_collisions,
+    "sweep_folded_tail": sweep_folded_tail, "net_rates": net_rates, "vcd_free_form": vcd_free_form, "sweep_rates": sweep_rates, "real_changes": real_changes, "vector_toggles": vector_toggles, "saif_rate": saif_rate, "net_resolve": net_resolve, "leaf_collisions": leaf_collisions,
 }
 ORACLE_SQL = {
     "toggle_count": SQL + "SELECT 'top.' || net AS path, CAST(sum(toggle) AS BIGINT) AS n_toggles FROM tg GROUP BY 1",
@@ -118,6 +144,8 @@ ORACLE_SQL = {
     "toggle_sweep_hopping": _sweep_sql(6, 2),
     "toggle_sweep_gapped": _sweep_sql(2, 8),
     "sweep_folded_tail": SQL + f"SELECT least(CAST(floor((tick - {START}) / {24 * HOUR}.0) AS BIGINT), 9) AS win, net, CAST(sum(toggle) AS BIGINT) AS n_toggles, count(*) AS n_events FROM tg WHERE tick >= {START} AND tick < {END} GROUP BY 1, 2",
+    "vcd_free_form": SQL + "SELECT 'top.' || x AS path, n_toggles FROM (SELECT net, CAST(sum(toggle) AS BIGINT) AS n_toggles, unnest([net, 'same_' || net]) AS x FROM tg GROUP BY net)",
+    "sweep_rates": SQL + f"SELECT w.win, n.net, round(coalesce(sum(toggle), 0) / 86400.0, 9)::DOUBLE AS rate FROM (SELECT range AS win FROM range(10)) w CROSS JOIN (SELECT DISTINCT net FROM ev UNION ALL SELECT 'unknown') n LEFT JOIN tg ON tg.net = n.net AND tg.tick >= {START} + w.win * {48 * HOUR} AND tg.tick < {START} + w.win * {48 * HOUR} + {24 * HOUR} AND tg.tick < {END} GROUP BY 1, 2",
     "net_rates": SQL + "SELECT n.net, round(coalesce(sum(toggle), 0) / 1000.0, 9) AS rate FROM (SELECT DISTINCT 'u' || user_id AS net FROM events WHERE user_id IS NOT NULL UNION ALL SELECT 'unknown' || range FROM range(3)) n LEFT JOIN tg USING (net) GROUP BY 1",
     "real_changes": "WITH p AS (SELECT user_id AS net, CAST(floor(value) AS BIGINT) AS v, lag(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT net, CAST(sum(CASE WHEN v <> p THEN 1 ELSE 0 END) AS BIGINT) AS n_changes FROM p GROUP BY 1",
     "vector_toggles": "WITH b AS (SELECT user_id AS net, event_id, r.range AS bit, (coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), 0) % 256 >> CAST(r.range AS INT)) & 1 AS v FROM events, range(8) r), p AS (SELECT net, bit, v, lag(v) OVER (PARTITION BY net, bit ORDER BY event_id) AS p FROM b) SELECT net, bit, CAST(sum(CASE WHEN v <> p THEN 1 ELSE 0 END) AS BIGINT) AS n_toggles FROM p GROUP BY 1, 2",

@@ -226,13 +226,43 @@ def rc_from_spef(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(~F.endswith("node", F.lit(":Y"))).select("net", "node", F.round("delay", 6).alias("delay"))
 
 
+def sdc_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constraint file for each supplier, every second one in ps: clocks, delays, uncertainty, latency, transition, load, derates, groups."""
+    s = read(spark, sf_dir, "supplier")
+    text = F.format_string(
+        "%screate_clock -name c -period %d [get_ports ck]\ncreate_generated_clock -name g -source ck -divide_by 4 [get_pins u/q]\nset_input_delay 2.5 -clock c [get_ports {a b}]\nset_output_delay %d -clock c [all_outputs]\n"
+        "set_clock_uncertainty -setup 0.5 c\nset_clock_uncertainty 0.25 c\nset_clock_latency 3 c\nset_input_transition 0.125 [all_inputs]\nset_load %d [all_outputs]\nset_timing_derate -late 1.05\nset_timing_derate -early 0.95\n"
+        "set_clock_groups -asynchronous -group {c} -group {g x}\n",
+        F.when(F.col("s_suppkey") % 2 == 0, "set_units -time 1ps\n").otherwise(""), "s_suppkey", F.col("s_nationkey"), F.col("s_nationkey") + 1,
+    )
+    p = units_of_text.scan(s.select(F.col("s_suppkey").alias("src_id"), text.alias("text")), sdc.parse, sdc.SCHEMA)
+    clock = lambda name: F.get(F.filter("clocks", lambda c: c["name"] == name), F.lit(0))["period"]
+    delay = lambda way: F.get(F.filter("io_delays", lambda d: d["dir"] == way), F.lit(0))
+    r = lambda c: F.round(c, 9)
+    return p.select(
+        F.col("src_id").alias("s_suppkey"), r(clock("c")).alias("period"), r(clock("g")).alias("generated"), r(delay("input")["value"]).alias("in_delay"), F.array_join(delay("input")["ports"], ",").alias("in_ports"),
+        r(delay("output")["value"]).alias("out_delay"), delay("output")["is_default"].alias("out_default"), r(F.col("setup_uncertainty")).alias("setup_u"), r(F.col("hold_uncertainty")).alias("hold_u"), r(F.col("clock_latency")).alias("latency"),
+        r(F.col("input_transition")).alias("transition"), r(F.col("load")).alias("load"), "late_derate", "early_derate", F.transform("groups", lambda g: F.array_join(g["clocks"], ","))[1].alias("second_group"),
+    )
+
+
+def power_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as power nets of customers: marked as such, else by a known name, else the first."""
+    o = read(spark, sf_dir, "orders")
+    net = F.when(F.col("o_orderkey") % 5 == 0, layout.POWER_NETS[1]).when(F.col("o_orderkey") % 5 == 1, layout.POWER_NETS[0]).otherwise(F.concat(F.lit("n"), S("o_orderkey")))
+    return layout.power_net(o.select(F.col("o_custkey").alias("src_id"), F.col("o_orderkey").alias("ord"), net.alias("net"), (F.col("o_orderkey") % 11 == 0).alias("use_power"))).select(F.col("src_id").alias("o_custkey"), "net")
+
+
 QUERIES = {
+    "sdc_values": sdc_values, "power_net": power_net,
     "verilog_conns": verilog_conns, "yosys_conns": yosys_conns, "sdc_exceptions": sdc_exceptions, "sdc_ignored": sdc_ignored, "spef_units_triplets": spef_units_triplets, "spef_health": spef_health, "spef_roundtrip": spef_roundtrip,
     "lef_layers": lef_layers, "def_segments": def_segments, "def_pins_oriented": def_pins_oriented, "liberty_cells": liberty_cells, "spice_flatten": spice_flatten, "em_by_net": em_by_net, "klayout_net": klayout_net,
     "name_parts": name_parts, "port_expand": port_expand, "spice_numbers": spice_numbers, "rc_from_spef": rc_from_spef,
 }
 _F = "o AS (SELECT o_custkey AS c, o_orderkey AS o, floor(o_totalprice) AS v FROM orders)"
 ORACLE_SQL = {
+    "sdc_values": "SELECT s_suppkey, round(s_suppkey * t, 9) AS period, round(s_suppkey * t * 4, 9) AS generated, round(2.5 * t, 9) AS in_delay, 'a,b' AS in_ports, round(s_nationkey * t, 9) AS out_delay, true AS out_default, round(0.5 * t, 9) AS setup_u, round(0.25 * t, 9) AS hold_u, round(3 * t, 9) AS latency, round(0.125 * t, 9) AS transition, (s_nationkey + 1)::DOUBLE AS load, 1.05::DOUBLE AS late_derate, 0.95::DOUBLE AS early_derate, 'g,x' AS second_group FROM (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END AS t FROM supplier)",
+    "power_net": f"SELECT o_custkey, arg_min(net, (r, o_orderkey)) AS net FROM (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 5 <= 1 THEN 1 ELSE 2 END AS r, CASE o_orderkey % 5 WHEN 0 THEN '{layout.POWER_NETS[1]}' WHEN 1 THEN '{layout.POWER_NETS[0]}' ELSE 'n' || o_orderkey END AS net FROM orders) GROUP BY 1",
     "verilog_conns": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem)
 SELECT l_orderkey, 'P' || p AS cell, 'u' || n || '_' || p || '_' || s AS name, u.pin, CASE u.pin WHEN 'A' THEN 'a[' || (n % 8) || ']' WHEN 'Y' THEN 'n' || s || '.y' WHEN 'C[2]' THEN 'a[7]' WHEN 'C[1]' THEN 'a[6]' ELSE 'b' END AS net FROM l, (VALUES ('A'), ('Y'), ('C[2]'), ('C[1]'), ('C[0]')) u(pin)""",
     "yosys_conns": "SELECT n_regionkey, n_name AS inst, 'N' AS cell, u.pin, CASE u.pin WHEN 'A' THEN CASE n_nationkey % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'q[0]' ELSE 'v' END WHEN 'Q[0]' THEN '$n' || (10 + n_nationkey) ELSE 'q[1]' END AS net FROM nation, (VALUES ('A'), ('Q[0]'), ('Q[1]')) u(pin)",

@@ -71,6 +71,11 @@ QUERIES = {
     "rect_bounds": rect_bounds, "rect_contains": rect_contains, "polygons": polygons, "polygon_loops": polygon_loops, "sized_rects": sized_rects,
 }
 ORACLE_SQL = {
+    # a rectangle of cells without a cell beside it; touching at a corner does not join
+    "sized_rects": SQL + """, c AS (SELECT * FROM e WHERE (set_id, x - 1, y) NOT IN (SELECT (set_id, x, y) FROM e) AND (set_id, x, y - 1) NOT IN (SELECT (set_id, x, y) FROM e)),
+t AS (SELECT set_id, x, y, w.range AS w, h.range AS h FROM c, range(2, 6) w, range(2, 7) h),
+n AS (SELECT t.set_id, t.x, t.y, w, h, count(*) FILTER (e.x BETWEEN t.x AND t.x + w - 1 AND e.y BETWEEN t.y AND t.y + h - 1) AS inside, count(*) FILTER (e.x BETWEEN t.x AND t.x + w - 1 OR e.y BETWEEN t.y AND t.y + h - 1) AS near FROM t JOIN e ON e.set_id = t.set_id AND e.x BETWEEN t.x - 1 AND t.x + w AND e.y BETWEEN t.y - 1 AND t.y + h GROUP BY ALL)
+SELECT set_id, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM n WHERE inside = w * h AND near = inside""",
     "rect_union_area": SQL + "SELECT set_id, count(*) AS area FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 1",
     "rect_difference": SQL + "SELECT set_id, count(*) AS area FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY 1",
     "rect_intersection": SQL + "SELECT set_id, count(*) AS area FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY 1",
