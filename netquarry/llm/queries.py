@@ -46,5 +46,10 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_edited": p7_edited, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
 _GRAMS = "SELECT DISTINCT {key}, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM {table}) WHERE len(w) >= 12)"
 ORACLE_SQL: dict[str, str] = {
+    # every name reaches the smaller names of its group along the pairs
+    "p3_found": r"""WITH RECURSIVE a AS (SELECT src_id, rtrim(replace(lhs, '\', ''), chr(32)||chr(9)||chr(13)||chr(10)) AS a, rtrim(replace(rhs, '\', ''), chr(32)||chr(9)||chr(13)||chr(10)) AS b FROM nl_alias),
+p AS (SELECT DISTINCT * FROM a WHERE a <> '' AND b <> '' AND NOT contains(a, '''') AND NOT contains(b, '''') AND src_id IS NOT NULL), e AS (SELECT src_id, a, b FROM p UNION SELECT src_id, b, a FROM p),
+r(src_id, net, g) AS (SELECT src_id, a, a FROM e UNION SELECT e.src_id, e.b, r.g FROM r JOIN e ON e.src_id = r.src_id AND e.a = r.net WHERE r.g < e.b)
+SELECT src_id, min(g) AS group_net, net FROM r GROUP BY src_id, net""",
     "p7_found": f"WITH d AS ({_GRAMS.format(key='doc_id', table='documents')}), i AS ({_GRAMS.format(key='item_id', table='eval_item')}) SELECT DISTINCT item_id, doc_id FROM d JOIN i USING (g)",
 }
