@@ -2,7 +2,8 @@
 
 The steps are first run inside each task, on the pairs it reads: every record it saw is linked to the smallest one it can reach
 there. Records that several tasks saw tie the roots found for them together, and what is shuffled in rounds is only that graph of
-roots; if the pairs of a group lie near each other it is small, if not it is no larger than the pairs.
+roots; if the pairs of a group lie near each other it is small, if not it is no larger than the pairs. Before each round of joins the
+edges that are left are contracted in the same way, by as many tasks as hold CHUNK edges each.
 
 Edges are kept as (child, parent) with child > parent. A large-star step links every child to the smallest parent of its parent, a
 small-star step links a child and all its parents to its smallest parent; both are joins with one minimum per node. The steps
@@ -91,6 +92,15 @@ def _state(edges: DataFrame, minima: DataFrame) -> tuple:
     return not chained
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges after the steps were run inside tasks of about CHUNK edges, those of one parent together."""
+    tasks = max(1, -(-edges.count() // CHUNK))
+    here = edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).repartition(tasks, "b").mapInArrow(_here, "node string, root string")
+    out = materialise(_edges(here.select(F.col("node").alias("a"), F.col("root").alias("b"))), "edges")
+    release(edges)
+    return out
+
+
 def components(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
     """pairs (a, b) -> (node, component), component being the smallest node of the group."""
     stars = pairs.filter("a is not null and b is not null").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).mapInArrow(_here, "node string, root string")
@@ -100,7 +110,9 @@ def components(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
     split = own.filter("root <> last").select("node", F.col("root").alias("b"))
     tied = salted_join(stars, split, ["node"], salts=4, by=F.col("root")).select(F.col("root").alias("a"), "b")
     edges = materialise(_edges(tied), "edges")
+    release(stars)
     for _ in range(most_rounds):
+        edges = _contracted(edges)
         m = _minima(edges, "large")
         if _state(edges, m):
             break
