@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,23 +42,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors, gives AQE real sizes."""
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors, gives AQE real sizes.
+
+    What is written stays until release(), release_all() or the end of the session."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/netquarry/{name}-{uuid.uuid4().hex}"
+    path = f"{_steps_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._netquarry_path = path
     return out
 
 
+def _steps_dir(spark: SparkSession) -> str:
+    """The folder of this application's steps; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/netquarry/{spark.sparkContext.applicationId}"
+    if path not in _SWEPT:
+        _SWEPT.add(path)
+        atexit.register(_sweep, spark, path)
+    return path
+
+
+_SWEPT: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # noqa: BLE001  the session may have ended before
+        if os.path.isdir(path):
+            shutil.rmtree(path, ignore_errors=True)
+
+
 def release(df: DataFrame | None) -> None:
     """Deletes what materialise() wrote, once nothing reads it any more."""
     path = getattr(df, "_netquarry_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Deletes every step of this application, once the results that read them are written: for sessions that run many queries."""
+    _delete(spark, _steps_dir(spark))
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -89,6 +123,33 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def whole_blocks(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 500_000) -> Iterator[pa.Table]:
+    """Tables of about `least` rows, of rows sorted by keys, that never end within a block of equal keys: what a task holds follows the
+    size of the blocks, not that of its partition."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if rows >= least:
+            t = pa.Table.from_batches(held).combine_chunks()
+            new = np.zeros(t.num_rows, bool)
+            for k in keys:
+                x = t.column(k).to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            starts = np.flatnonzero(new)
+            if len(starts):
+                yield t.slice(0, int(starts[-1])).combine_chunks()
+                t = t.slice(int(starts[-1]))
+                rows = t.num_rows
+            else:
+                rows = 0  # one block so far: more of it may come
+            held = t.combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and the benchmark."""
     b = SparkSession.builder.master(f"local[{cores}]").config("spark.driver.memory", memory)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.core import canon, materialise, release, salted_join
+from netquarry.core import canon, materialise, release, salted_join, whole_blocks
 
 BLOCK = 1 << 19  # nodes of one group that may lie in one block
 SPAN = 1 << 16  # tour positions scanned for paths at once
@@ -32,11 +32,6 @@ def _located(nodes: DataFrame, block: int) -> DataFrame:
     return nodes.join(size, "grp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).drop("_n")
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got) if got else None
-
-
 def _np(t: pa.Table, c: str) -> np.ndarray:
     return t.column(c).to_numpy()
 
@@ -51,10 +46,12 @@ def _find(ids: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _peel_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Peels what can be peeled within the partition. Gives the nodes left, and how many children nodes elsewhere lost."""
-    t = _table(batches)
-    if t is None:
-        return
+    """Peels what can be peeled within each block. Gives the nodes left, and how many children nodes elsewhere lost."""
+    for t in whole_blocks(batches, ["grp", "part"]):
+        yield _peeled(t)
+
+
+def _peeled(t: pa.Table) -> pa.RecordBatch:
     ids, parent, left, grp, part = (_np(t, c) for c in ("id", "parent", "left", "grp", "part"))
     left = left.copy()
     at = _find(ids, np.argsort(ids, kind="stable"), parent)
@@ -72,7 +69,7 @@ def _peel_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = ~gone
     told, times = np.unique(np.concatenate(sent) if sent else np.zeros(0, np.int64), return_counts=True)
     n, m = int(keep.sum()), len(told)
-    yield pa.RecordBatch.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate([ids[keep], told])), pa.array(np.concatenate([parent[keep], np.full(m, -1)])), pa.array(np.concatenate([left[keep], -times]).astype(np.int64)), pa.array(np.concatenate([grp[keep], np.zeros(m, np.int64)]).astype(np.int64)), pa.array(np.concatenate([part[keep], np.zeros(m, np.int64)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(n, bool), np.ones(m, bool)]))],
         names=["id", "parent", "left", "grp", "part", "message"],
     )
@@ -84,7 +81,7 @@ def on_cycles(nodes: DataFrame, rounds: int = 6) -> DataFrame:
     state = nodes.select("id", "parent", "grp", "part").join(counts, "id", "left").select("id", "parent", "grp", "part", F.coalesce("n", F.lit(0)).cast("long").alias("left"))
     held = None
     for _ in range(rounds):
-        out = materialise(state.repartition("grp", "part").mapInArrow(_peel_here, "id long, parent long, left long, grp long, part int, message boolean"), "peel")
+        out = materialise(state.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(_peel_here, "id long, parent long, left long, grp long, part int, message boolean"), "peel")
         release(held)
         held = out
         messages = out.filter("message").groupBy("id").agg(F.sum("left").alias("lost"))
@@ -105,10 +102,12 @@ def on_cycles(nodes: DataFrame, rounds: int = 6) -> DataFrame:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Follows the list as far as it stays in the partition: (e, to, n, w) with n elements and weight w from e up to before `to`."""
-    t = _table(batches)
-    if t is None:
-        return
+    """Follows the list as far as it stays in the block: (e, to, n, w) with n elements and weight w from e up to before `to`."""
+    for t in whole_blocks(batches, ["grp", "part"]):
+        yield _followed(t)
+
+
+def _followed(t: pa.Table) -> pa.RecordBatch:
     e, to, n, w = _np(t, "e"), _np(t, "to").copy(), np.ones(t.num_rows, np.int64), _np(t, "w").astype(np.int64).copy()
     at = _find(e, np.argsort(e, kind="stable"), to)
     # a pointer is followed while its target lies here; each pass doubles what is followed
@@ -119,14 +118,14 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nx = at[go]
         n2, w2, to2, at2 = n[go] + n[nx], w[go] + w[nx], to[nx], at[nx]
         n[go], w[go], to[go], at[go] = n2, w2, to2, at2
-    yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(to), pa.array(n), pa.array(w)], names=["e", "to", "n", "w"])
+    return pa.RecordBatch.from_arrays([pa.array(e), pa.array(to), pa.array(n), pa.array(w)], names=["e", "to", "n", "w"])
 
 
 def rank(elements: DataFrame) -> DataFrame:
     """List ranking of elements (e, to, w, grp, part); `to` < 0 ends a list. Gives e, last (the end reached), n elements and weight
     w from e to the end."""
     spec = "e long, to long, n long, w long"
-    run = materialise(elements.select("grp", "part", "e", "to", "w").repartition("grp", "part").mapInArrow(_contract, spec), "rank")
+    run = materialise(elements.select("grp", "part", "e", "to", "w").repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(_contract, spec), "rank")
     # the elements that some pointer of another block leads to
     entry = run.filter("to >= 0").select(F.col("to").alias("e")).distinct()
     hop = run.join(entry, "e", "left_semi")
@@ -187,7 +186,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFra
     up = up.join(known.select(F.col("id").alias("parent")), "parent", "left_semi")
     n = nodes.select("id", F.col("grp").cast("long").alias("grp"), "name").join(up.select(F.col("child").alias("id"), "parent"), "id", "left")
     n = materialise(_located(n.select("id", "grp", "name", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent")), block), "nodes")
-    core = materialise(on_cycles(n).withColumn("core", F.lit(True)), "core")
+    core = materialise(on_cycles(n).withColumn("core", F.lit(True)), "core")  # a row for each node on a cycle
     cut = n.join(core, "id", "left").withColumn("tree_parent", F.when(F.col("core"), F.lit(-1)).otherwise(F.col("parent")))
     forest = materialise(cut.select("id", "grp", "part", F.col("tree_parent").alias("parent"), "name", F.coalesce("core", F.lit(False)).alias("core")), "forest")
     r = rank(_tour(forest.select("id", "parent", "grp", "part")))
