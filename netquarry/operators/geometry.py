@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.core import materialise
+from netquarry.core import broadcast_if_small, materialise, salted_join
 
 XY = ["x0", "y0", "x1", "y1"]
 
@@ -91,10 +91,24 @@ def area(slabs: DataFrame) -> DataFrame:
     return slabs.groupBy("set_id").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
 
 
+def sides(rects: DataFrame) -> DataFrame:
+    """rects with width and height, 0 for an empty one."""
+    return rects.withColumn("width", F.greatest(F.lit(0), F.col("x1") - F.col("x0"))).withColumn("height", F.greatest(F.lit(0), F.col("y1") - F.col("y0")))
+
+
+COLUMNS = 1024  # into which the points of a set are sorted by x
+
+
 def contains(slabs: DataFrame, points: DataFrame) -> DataFrame:
-    """points (set_id, x, y) that the slabs cover."""
+    """points (set_id, x, y) that the slabs cover. Each set is cut into COLUMNS columns; a point meets the slabs of its column only."""
+    span = slabs.groupBy("set_id").agg(F.min("x0").alias("_at"), F.greatest(F.lit(1), F.ceil((F.max("x1") - F.min("x0")) / COLUMNS)).cast("long").alias("_w"))
+    column = lambda x: F.floor((x - F.col("_at")) / F.col("_w"))
+    side, small = broadcast_if_small(span)
+    near = lambda d, by: d.join(side, "set_id") if small else salted_join(d, span, ["set_id"], by=F.col(by))
+    s = near(slabs, "y0").withColumn("_c", F.explode(F.sequence(column(F.col("x0")), column(F.col("x1") - 1)))).drop("_at", "_w")
+    p = near(points, "y").withColumn("_c", column(F.col("x"))).drop("_at", "_w")
     hit = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    return points.join(slabs, "set_id").filter(hit).select(*points.columns).distinct()
+    return p.join(s, ["set_id", "_c"]).filter(hit).select(*points.columns).distinct()
 
 
 def _minus(have: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -58,13 +58,28 @@ def sdc_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sdc_exceptions(read(spark, sf_dir, "supplier"))
 
 
+def sdc_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends that the exceptions of sdc_exceptions spell out."""
+    s = read(spark, sf_dir, "supplier")
+    line = F.format_string("set_false_path -from [get_cells {s%d s%d}] -to [all_outputs]", "s_suppkey", F.col("s_suppkey") + 1)
+    p = units_of_text.scan(_join(s, "s_nationkey", line, "s_suppkey", "# head\n"), sdc.parse, sdc.SCHEMA)
+    return sdc.named_endpoints(units_of_text.table(p, "exceptions")).groupBy(F.col("src_id").alias("s_nationkey"), "side", "name").agg(F.count("*").alias("n"))
+
+
+def spef_pin_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the pins that the parasitics of the orders hook up, and of pins they lack."""
+    t = spef.scan(spef_lines(spark, sf_dir))
+    pins = read(spark, sf_dir, "customer").select(F.lit(1).cast("long").alias("src_id"), F.format_string("net[%d]", "c_custkey").alias("inst"), F.when(F.col("c_custkey") % 4 > 0, "Y").otherwise("A").alias("pin"))
+    return spef.pin_nodes(t["conn"], pins).select("inst", "pin", "node")
+
+
 def sdc_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that are not modelled, and whether ignoring them can move a slack."""
     e = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     cmd = F.when(F.col("event_type") == "click", "set_driving_cell a").when(F.col("event_type") == "view", "set_max_area 0").when(F.col("event_type") == "error", "group_path -name x").otherwise("set_load 1")
     p = units_of_text.scan(_join(e, "user_id", cmd, "event_type"), sdc.parse, sdc.SCHEMA)
     i = units_of_text.table(p, "ignored")
-    return i.select(F.col("src_id").alias("user_id"), "command", F.col("command").isin(sdc.TIMING_AFFECTING).alias("affects")).distinct()
+    return i.select(F.col("src_id").alias("user_id"), "command", F.col("command").isin(sdc.TIMING_AFFECTING).alias("affects"), sdc.effect("command").alias("effect")).distinct()
 
 
 def spef_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,20 +269,22 @@ def power_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "sdc_values": sdc_values, "power_net": power_net,
+    "sdc_values": sdc_values, "sdc_endpoints": sdc_endpoints, "spef_pin_nodes": spef_pin_nodes, "power_net": power_net,
     "verilog_conns": verilog_conns, "yosys_conns": yosys_conns, "sdc_exceptions": sdc_exceptions, "sdc_ignored": sdc_ignored, "spef_units_triplets": spef_units_triplets, "spef_health": spef_health, "spef_roundtrip": spef_roundtrip,
     "lef_layers": lef_layers, "def_segments": def_segments, "def_pins_oriented": def_pins_oriented, "liberty_cells": liberty_cells, "spice_flatten": spice_flatten, "em_by_net": em_by_net, "klayout_net": klayout_net,
     "name_parts": name_parts, "port_expand": port_expand, "spice_numbers": spice_numbers, "rc_from_spef": rc_from_spef,
 }
 _F = "o AS (SELECT o_custkey AS c, o_orderkey AS o, floor(o_totalprice) AS v FROM orders)"
 ORACLE_SQL = {
+    "sdc_endpoints": "SELECT s_nationkey, '-from' AS side, 's' || k AS name, count(*) AS n FROM (SELECT s_nationkey, unnest([s_suppkey, s_suppkey + 1]) AS k FROM supplier) GROUP BY ALL",
+    "spef_pin_nodes": "SELECT 'net[' || c_custkey || ']' AS inst, CASE WHEN c_custkey % 4 > 0 THEN 'Y' ELSE 'A' END AS pin, CASE WHEN c_custkey % 4 > 0 AND c_custkey IN (SELECT o_custkey FROM orders) THEN 'net[' || c_custkey || ']:Y' END AS node FROM customer",
     "sdc_values": "SELECT s_suppkey, round(s_suppkey * t, 9) AS period, round(s_suppkey * t * 4, 9) AS generated, round(2.5 * t, 9) AS in_delay, 'a,b' AS in_ports, round(s_nationkey * t, 9) AS out_delay, true AS out_default, round(0.5 * t, 9) AS setup_u, round(0.25 * t, 9) AS hold_u, round(3 * t, 9) AS latency, round(0.125 * t, 9) AS transition, (s_nationkey + 1)::DOUBLE AS load, 1.05::DOUBLE AS late_derate, 0.95::DOUBLE AS early_derate, 'g,x' AS second_group FROM (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END AS t FROM supplier)",
     "power_net": f"SELECT o_custkey, arg_min(net, (r, o_orderkey)) AS net FROM (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 5 <= 1 THEN 1 ELSE 2 END AS r, CASE o_orderkey % 5 WHEN 0 THEN '{layout.POWER_NETS[1]}' WHEN 1 THEN '{layout.POWER_NETS[0]}' ELSE 'n' || o_orderkey END AS net FROM orders) GROUP BY 1",
     "verilog_conns": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem)
 SELECT l_orderkey, 'P' || p AS cell, 'u' || n || '_' || p || '_' || s AS name, u.pin, CASE u.pin WHEN 'A' THEN 'a[' || (n % 8) || ']' WHEN 'Y' THEN 'n' || s || '.y' WHEN 'C[2]' THEN 'a[7]' WHEN 'C[1]' THEN 'a[6]' ELSE 'b' END AS net FROM l, (VALUES ('A'), ('Y'), ('C[2]'), ('C[1]'), ('C[0]')) u(pin)""",
     "yosys_conns": "SELECT n_regionkey, n_name AS inst, 'N' AS cell, u.pin, CASE u.pin WHEN 'A' THEN CASE n_nationkey % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'q[0]' ELSE 'v' END WHEN 'Q[0]' THEN '$n' || (10 + n_nationkey) ELSE 'q[1]' END AS net FROM nation, (VALUES ('A'), ('Q[0]'), ('Q[1]')) u(pin)",
     "sdc_exceptions": "SELECT s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN 'false' ELSE 'multicycle' END AS kind, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey % 5 + 1 END AS mult, CASE WHEN s_suppkey % 3 = 0 THEN least('s' || s_suppkey, 's' || (s_suppkey + 1)) || ',' || greatest('s' || s_suppkey, 's' || (s_suppkey + 1)) ELSE 's' || s_suppkey END AS from_set, CASE WHEN s_suppkey % 3 = 0 THEN 'n' || s_nationkey ELSE '*' END AS to_set FROM supplier",
-    "sdc_ignored": "SELECT DISTINCT user_id, CASE event_type WHEN 'click' THEN 'set_driving_cell' WHEN 'view' THEN 'set_max_area' ELSE 'group_path' END AS command, event_type <> 'view' AS affects FROM events WHERE event_type IN ('click', 'view', 'error')",
+    "sdc_ignored": "SELECT DISTINCT user_id, CASE event_type WHEN 'click' THEN 'set_driving_cell' WHEN 'view' THEN 'set_max_area' ELSE 'group_path' END AS command, event_type <> 'view' AS affects, CASE event_type WHEN 'view' THEN 'benign' ELSE 'timing' END AS effect FROM events WHERE event_type IN ('click', 'view', 'error')",
     "spef_units_triplets": "WITH " + _F + " SELECT 'net[' || c || ']' AS net, sum(v) * 1000.0 AS cap_ff, sum(v) * 1000.0 AS gcap_ff, count(*) AS n_gcap, coalesce(sum(CASE WHEN o % 7 <> 0 THEN o % 100 END), 0) * 1000.0::DOUBLE AS res_ohm FROM o GROUP BY 1, c",
     "spef_health": "WITH " + _F + " SELECT count(*) FILTER (o % 7 = 0) AS skipped, true AS triplets, 0 AS reduced, 0 AS pnets FROM o",
     "spef_roundtrip": "WITH " + _F + " SELECT 'net[' || c || ']' AS net, sum(v) * 1000.0 AS cap_ff, sum(v) * 1000.0 AS gcap_ff FROM o GROUP BY 1, c",

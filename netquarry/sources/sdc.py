@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.operators.rejects import sdc_words
@@ -16,6 +16,12 @@ TIMING_AFFECTING = [
     "set_min_pulse_width", "group_path", "set_clock_transition", "set_propagated_clock", "set_clock_sense", "set_sense", "set_clock_gating_check", "set_ideal_network", "set_ideal_latency", "set_ideal_transition",
     "derive_clock_uncertainty", "derive_pll_clocks", "set_max_transition", "set_max_fanout", "set_max_capacitance", "set_min_capacitance", "set_disable_clock_gating_check", "unset_propagated_clock", "set_max_trans",
 ]
+# Commands that are not modelled either, and that no timer consults.
+BENIGN = [
+    "set_max_area", "set_max_dynamic_power", "set_max_leakage_power", "create_voltage_area", "set_level_shifter_strategy", "set_level_shifter_threshold", "set_dont_touch", "set_dont_use", "set_size_only",
+    "set_clock_gating_enable", "set_clock_gating_style", "set_clock_gating_verification", "set_timing_enable_verification", "set_dont_touch_network", "set_optimize_design", "set_scan_configuration",
+    "set_min_porosity", "set_critical_range",
+]
 TIMES = {"fs": 1e-6, "ps": 1e-3, "ns": 1.0, "us": 1e3, "ms": 1e6, "s": 1e9}
 FREQS = {"hz": 1.0, "khz": 1e3, "mhz": 1e6, "ghz": 1e9}
 CAPS = {"ff": 1e-3, "pf": 1.0, "nf": 1e3, "uf": 1e6, "mf": 1e9, "f": 1e12}
@@ -203,6 +209,19 @@ def ignored_affecting_timing(ignored: list[str]) -> list[str]:
     return sorted(set(ignored) & set(TIMING_AFFECTING))
 
 
+def effect(command: Column | str) -> Column:
+    """Of a command that is ignored: timing (it can move a slack), benign (it can't) or unknown."""
+    c = F.col(command) if isinstance(command, str) else command
+    return F.when(c.isin(TIMING_AFFECTING), "timing").when(c.isin(BENIGN), "benign").otherwise("unknown")
+
+
+def named_endpoints(exceptions: DataFrame) -> DataFrame:
+    """src_id, ord, side (-from or -to) and name of each end that is spelt out: what can be checked for existence."""
+    ends = lambda c, side: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(side).alias("side"), x.alias("name")))
+    e = exceptions.select("src_id", "ord", F.inline(F.concat(ends("from_set", "-from"), ends("to_set", "-to"))))
+    return e.filter("name <> '' and name <> '*'")
+
+
 def covers(from_set: list[str], to_set: list[str], a: str, b: str) -> bool:
     """Whether an exception applies to a path: an empty set or * matches everything."""
     hit = lambda s, x: not s or "*" in s or x in s

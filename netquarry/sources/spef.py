@@ -94,6 +94,12 @@ def scan(lines: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def pin_nodes(conn: DataFrame, pins: DataFrame) -> DataFrame:
+    """pins (src_id, inst, pin) with node, where the parasitics hook the pin up: the first of its connections; null where there is none."""
+    first = conn.filter("not is_port").groupBy("src_id", "inst", "pin").agg(F.min_by("node", "seq").alias("node"))
+    return pins.join(first, ["src_id", "inst", "pin"], "left")
+
+
 def owners(tables: dict[str, DataFrame]) -> DataFrame:
     """node -> net by connections, resistors and grounded capacitors, and the net's own node."""
     o = tables["net"].select("src_id", F.col("net").alias("node"), "net")
