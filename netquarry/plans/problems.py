@@ -62,7 +62,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every readable value in its common unit, with the decoded unit and whether one is stated."""
-    return _converted(spark, sf_dir).select("tbl", "rec_id", "quantity", (F.col("freq") | F.col("stated").isNotNull()).alias("is_stated"), "decoded", "value")
+    return _converted(spark, sf_dir).select("tbl", "rec_id", "quantity", (F.col("freq") | F.col("stated").isNotNull()).alias("is_stated"), F.round("decoded", 9).alias("decoded"), F.round("value", 6).alias("value"))
 
 
 def p5_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +105,9 @@ t(src_id, k, root, depth, path, above) AS (SELECT m.src_id, m.k, m.n, 0, m.n, CA
 b AS (SELECT src_id, a AS k, count(*) AS n FROM (SELECT src_id, unnest(above) AS a FROM t) GROUP BY 1, 2)
 """
 
-def _units_sql() -> str:
-    """p5_found by the rule alone: a unit in the text, else in the remark or timescale, else in the header, else the common one."""
+def _units_sql(found: bool) -> str:
+    """p5_found and p5_converted by the rule alone: a unit in the text, else in the remark or timescale, else in the header, else the common
+    one."""
     ohm = chr(8486)
     n, unit = units.NUMBER, r"[^\s\[\]=0-9.+][^\s\[\]=0-9]*"
     front, back = rf"^({n})\s*(?:\[\s*({unit})\s*\]|({unit}))?$", rf"^({unit})\s*[= ]\s*({n})$"
@@ -116,7 +117,7 @@ def _units_sql() -> str:
     spoken = lambda k: "MAP {" + ", ".join(f"'{w}': {p}" for w, (p, f) in (units.unit_table(k) | ({"ω": (0, False)} if k == "res" else {})).items() if (len(w) > 1 or w == "ω") and not f) + "}"
     fields = " UNION ALL ".join(f"SELECT '{t}' AS tbl, {i} AS rec_id, src_id, '{q}' AS quantity, '{k}' AS kind, trim({c}, chr(32)||chr(9)||chr(13)||chr(10)) AS x, {'remark' if t == 'spef_net' else 'NULL'} AS remark, {'timescale' if t == 'act_dump' else 'NULL'} AS scale FROM {t}" for q, t, i, c, k in units.FIELDS)
     said = lambda c, k: f"CASE WHEN u.fr IS NOT TRUE AND coalesce(try_cast(nullif(regexp_extract({c}, '{head}', 1), '') AS DOUBLE), 1) > 0 THEN log10(coalesce(try_cast(nullif(regexp_extract({c}, '{head}', 1), '') AS DOUBLE), 1)) + CASE WHEN regexp_extract({c}, '{head}', 2) = 'f' THEN -15 ELSE u.p END END"
-    return f"""WITH u(kind, w, p, fr) AS (VALUES {words}),
+    start = f"""WITH u(kind, w, p, fr) AS (VALUES {words}),
 h AS (SELECT src_id, q, max_by(v, (loaded_at, v)) AS v FROM (SELECT s.src_id, s.loaded_at, CASE s.q WHEN 'time' THEN 'period' ELSE s.q END AS q, {said("s.unit_text", "s.q")} AS v
   FROM (SELECT *, CASE lower(quantity) WHEN 'capacitance' THEN 'cap' WHEN 'resistance' THEN 'res' WHEN 'time' THEN 'time' END AS q FROM src_unit) s JOIN u ON u.kind = s.q AND u.w = {low(f"regexp_extract(s.unit_text, '{head}', 2)")}) WHERE v IS NOT NULL GROUP BY 1, 2),
 d AS (SELECT scale, {said("scale", "'time'")} AS v FROM (SELECT DISTINCT timescale AS scale FROM act_dump) a JOIN u ON u.kind = 'time' AND u.w = {low(f"regexp_extract(a.scale, '{head}', 2)")}),
@@ -126,9 +127,15 @@ r AS (SELECT *, CASE WHEN regexp_matches(x, '{front}') THEN regexp_extract(x, '{
   list_filter(list_transform(regexp_extract_all(remark, '[A-Za-zµμΩω{ohm}][A-Za-zµμΩω{ohm}-]*'), lambda y: CASE kind WHEN 'cap' THEN ({spoken("cap")})[{low("y")}] ELSE ({spoken("res")})[{low("y")}] END), lambda y: y IS NOT NULL)[1] AS spoken FROM t),
 k AS (SELECT r.*, CASE WHEN word = 'f' THEN -15 ELSE u.p END AS p, word <> 'f' AND coalesce(u.fr, false) AS fr, CAST(num AS DOUBLE) AS val FROM r LEFT JOIN u ON u.kind = r.kind AND u.w = {low("word")} WHERE num IS NOT NULL),
 e AS (SELECT k.*, CASE quantity WHEN 'cap' THEN -15 WHEN 'period' THEN -9 ELSE 0 END AS common, CASE quantity WHEN 'cap' THEN 3 WHEN 'res' THEN 3 WHEN 'period' THEN 6 ELSE 15 END AS fine, coalesce(k.p, k.spoken, d.v, h.v) AS unit
-  FROM k LEFT JOIN d ON k.quantity = 'sim_time' AND d.scale = k.scale LEFT JOIN h ON h.src_id = k.src_id AND h.q = k.quantity WHERE val > 0 AND (word = '' OR k.p IS NOT NULL)),
-f AS (SELECT *, round(unit - common, 12) + fine AS s FROM e WHERE fr OR abs(unit - common) > 1e-9)
+  FROM k LEFT JOIN d ON k.quantity = 'sim_time' AND d.scale = k.scale LEFT JOIN h ON h.src_id = k.src_id AND h.q = k.quantity WHERE word = '' OR k.p IS NOT NULL)"""
+    if not found:
+        return start + """ SELECT DISTINCT tbl, rec_id, quantity, fr OR unit IS NOT NULL AS is_stated, CASE WHEN fr THEN 0.0::DOUBLE ELSE round(coalesce(unit - common, 0.0::DOUBLE), 9) END AS decoded,
+round(CASE WHEN fr AND val > 0 THEN 1.0 / (val * pow(10.0, unit)) / pow(10.0, common) WHEN NOT fr THEN val * pow(10.0, round(coalesce(unit - common, 0), 12)) END, 6) AS value FROM e"""
+    return (
+        start
+        + """, f AS (SELECT *, round(unit - common, 12) + fine AS s FROM e WHERE val > 0 AND (fr OR abs(unit - common) > 1e-9))
 SELECT DISTINCT tbl, rec_id, quantity, CAST(round(CASE WHEN fr THEN pow(10.0, 15.0 - unit) / val WHEN s >= 0 THEN val * pow(10.0, s) ELSE val / pow(10.0, -s) END) AS BIGINT) AS val_int FROM f"""
+    )
 
 
 _ORPHANS_SQL = r"""WITH m AS (SELECT src_id, fmt, rtrim(replace(module_name,'\',''), chr(32)||chr(9)||chr(13)||chr(10)) AS n, min(loaded_at) AS at FROM nl_module GROUP BY ALL),
@@ -168,7 +175,8 @@ SELECT tbl, ref_field, cause, seen_month, count(*) FILTER (level = 0) AS n_direc
 
 
 ORACLE_SQL = {
-    "p5_found": _units_sql(),
+    "p5_found": _units_sql(True),
+    "p5_converted": _units_sql(False),
     "p1_covered": _SLOTS_SQL.replace("from_s AS f, to_s AS t, s FROM", "from_s AS f, to_s AS t, toggles AS v, s FROM").replace("c AS (", "x AS (SELECT dump_id, sig_path, v * s / (t - f) AS y, unnest(range(greatest(0, CAST(floor(f / s) AS BIGINT) - 1), CAST(ceil(t / s) AS BIGINT) + 2)) AS k, f, t, s FROM w), c AS (", 1)
     + "SELECT dump_id, sig_path, k AS slot, round(avg(y), 4) AS value FROM x WHERE (k + 0.5::DOUBLE) * s >= f AND (k + 0.5::DOUBLE) * s < t GROUP BY ALL",
     "p1_found": _SLOTS_SQL + "SELECT g.dump_id, g.sig_path, g.slot FROM g LEFT JOIN c ON c.dump_id = g.dump_id AND c.sig_path = g.sig_path AND c.k = g.slot WHERE c.k IS NULL",
