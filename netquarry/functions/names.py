@@ -32,6 +32,12 @@ def split_bit_select(name: Column | str) -> Column:
     return F.when(c.rlike(form), F.struct(F.regexp_extract(c, form, 1).alias("base"), F.regexp_extract(c, form, 2).try_cast("long").alias("bit")))
 
 
+def declared_ranges(names: DataFrame, key: list[str], name: str = "name") -> DataFrame:
+    """key, base, msb, lsb: the range that the names base[bit] of each key span, as if it were declared."""
+    d = names.filter(F.col(name).isNotNull()).select(*key, F.regexp_extract(name, r"^([^\[]*)\[([+-]?[0-9]+)\]$", 1).alias("base"), F.regexp_extract(name, r"^([^\[]*)\[([+-]?[0-9]+)\]$", 2).try_cast("long").alias("bit"))
+    return d.filter("bit is not null").groupBy(*key, "base").agg(F.max("bit").alias("msb"), F.min("bit").alias("lsb"))
+
+
 def expand_bits(base: Column | str, msb: Column | str, lsb: Column | str) -> Column:
     """The bits of a bus, greatest index first; the bare name where there is no range."""
     base, msb, lsb = _c(base), _c(msb), _c(lsb)

@@ -206,6 +206,11 @@ def hierarchy(nodes: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFra
     return t.join(paths, "id")
 
 
+def several_parents(links: DataFrame) -> DataFrame:
+    """child, n_parents of the nodes that more than one parent holds: hierarchy() keeps the smallest of them."""
+    return links.filter("child is not null and parent is not null").distinct().groupBy("child").agg(F.count("*").alias("n_parents")).filter("n_parents > 1")
+
+
 def module_links(nl_module: DataFrame, nl_inst: DataFrame, sp_device: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The modules of the sources as nodes (id, grp, name), and their links by instances and X devices.
 

@@ -188,3 +188,10 @@ def wire_load_pf(cap_ff: Column | str) -> Column:
 def lumped_delay_ns(res_ohm: Column | str, cap_ff: Column | str) -> Column:
     r, c = (F.col(x) if isinstance(x, str) else x for x in (res_ohm, cap_ff))
     return F.coalesce(r * c * KILO_FEMTO, F.lit(0.0))
+
+
+def coupling_order(listed: DataFrame) -> DataFrame:
+    """coupling (src_id, net, node, other, other_node, cc) with place: the order in which a net's couplings are written, by node, other net
+    and other node, so that writing what was read gives the same file."""
+    by = Window.partitionBy("src_id", "net").orderBy("node", "other", "other_node", "cc")
+    return listed.withColumn("place", F.row_number().over(by).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.core import read
+from netquarry.core import canon, read
 from netquarry.functions import names as N
 from netquarry.operators import parasitics as R
 from netquarry.operators.library import lookup
@@ -261,6 +261,30 @@ def sdc_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def declared_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges that the nets of the parasitics span in each source."""
+    n = read(spark, sf_dir, "spef_net").select("src_id", canon("net").alias("name"))
+    return N.declared_ranges(n, ["src_id"])
+
+
+def clock_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Virtual and other clocks of each source."""
+    c = read(spark, sf_dir, "sdc_clock").select("src_id", "clock_id", sdc.is_virtual(F.col("source_obj")).alias("v")).distinct()
+    return c.groupBy("src_id").agg(F.count_if("v").alias("n_virtual"), F.count_if(~F.col("v")).alias("n_real"))
+
+
+def written_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name a net is written with: as it was read, else the plain one."""
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", layout.write_name(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("\\"), "p_brand")).when(F.col("p_size") % 3 == 1, ""), F.col("p_brand")).alias("name"))
+
+
+def coupling_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as couplings of orders' nets, in the order they are written."""
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src_id"), F.col("l_orderkey").alias("net"), (F.col("l_quantity") % 3).alias("node"), F.col("l_partkey").alias("other"), F.col("l_linenumber").alias("other_node"), F.col("l_quantity").alias("cc")).distinct()
+    return R.coupling_order(li)
+
+
 def power_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as power nets of customers: marked as such, else by a known name, else the first."""
     o = read(spark, sf_dir, "orders")
@@ -269,6 +293,7 @@ def power_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "declared_ranges": declared_ranges, "clock_kinds": clock_kinds, "written_names": written_names, "coupling_order": coupling_order,
     "sdc_values": sdc_values, "sdc_endpoints": sdc_endpoints, "spef_pin_nodes": spef_pin_nodes, "power_net": power_net,
     "verilog_conns": verilog_conns, "yosys_conns": yosys_conns, "sdc_exceptions": sdc_exceptions, "sdc_ignored": sdc_ignored, "spef_units_triplets": spef_units_triplets, "spef_health": spef_health, "spef_roundtrip": spef_roundtrip,
     "lef_layers": lef_layers, "def_segments": def_segments, "def_pins_oriented": def_pins_oriented, "liberty_cells": liberty_cells, "spice_flatten": spice_flatten, "em_by_net": em_by_net, "klayout_net": klayout_net,
@@ -276,6 +301,10 @@ QUERIES = {
 }
 _F = "o AS (SELECT o_custkey AS c, o_orderkey AS o, floor(o_totalprice) AS v FROM orders)"
 ORACLE_SQL = {
+    "declared_ranges": r"SELECT src_id, b AS base, max(k) AS msb, min(k) AS lsb FROM (SELECT src_id, regexp_extract(n, '^([^\[]*)\[([+-]?[0-9]+)\]$', 1) AS b, try_cast(regexp_extract(n, '^([^\[]*)\[([+-]?[0-9]+)\]$', 2) AS BIGINT) AS k FROM (SELECT src_id, rtrim(replace(net, '\', ''), chr(32)||chr(9)||chr(13)||chr(10)) AS n FROM spef_net)) WHERE k IS NOT NULL GROUP BY 1, 2",
+    "clock_kinds": "SELECT src_id, count(*) FILTER (v) AS n_virtual, count(*) FILTER (NOT v) AS n_real FROM (SELECT DISTINCT src_id, clock_id, coalesce(source_obj, '') = '' AS v FROM sdc_clock) GROUP BY 1",
+    "written_names": r"SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '\' || p_brand ELSE p_brand END AS name FROM part",
+    "coupling_order": "SELECT *, row_number() OVER (PARTITION BY src_id, net ORDER BY node, other, other_node, cc) AS place FROM (SELECT DISTINCT l_suppkey AS src_id, l_orderkey AS net, l_quantity % 3 AS node, l_partkey AS other, l_linenumber AS other_node, l_quantity AS cc FROM lineitem)",
     "sdc_endpoints": "SELECT s_nationkey, '-from' AS side, 's' || k AS name, count(*) AS n FROM (SELECT s_nationkey, unnest([s_suppkey, s_suppkey + 1]) AS k FROM supplier) GROUP BY ALL",
     "spef_pin_nodes": "SELECT 'net[' || c_custkey || ']' AS inst, CASE WHEN c_custkey % 4 > 0 THEN 'Y' ELSE 'A' END AS pin, CASE WHEN c_custkey % 4 > 0 AND c_custkey IN (SELECT o_custkey FROM orders) THEN 'net[' || c_custkey || ']:Y' END AS node FROM customer",
     "sdc_values": "SELECT s_suppkey, round(s_suppkey * t, 9) AS period, round(s_suppkey * t * 4, 9) AS generated, round(2.5 * t, 9) AS in_delay, 'a,b' AS in_ports, round(s_nationkey * t, 9) AS out_delay, true AS out_default, round(0.5 * t, 9) AS setup_u, round(0.25 * t, 9) AS hold_u, round(3 * t, 9) AS latency, round(0.125 * t, 9) AS transition, (s_nationkey + 1)::DOUBLE AS load, 1.05::DOUBLE AS late_derate, 0.95::DOUBLE AS early_derate, 'g,x' AS second_group FROM (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END AS t FROM supplier)",

@@ -81,6 +81,9 @@ class DesignSession:
 
     def load_netlist_json(self, path: str) -> None:
         t = yosys.scan(self._files(path))
+        bad = yosys.errors(self._files(path)).agg(F.count("*").alias("n"), F.min(F.struct("src_id", "line", "col", "message")).alias("first")).first()
+        if bad["n"]:
+            raise ValueError(f"{path}: no JSON at line {bad['first']['line']}, column {bad['first']['col']}: {bad['first']['message']}")
         if t["module"].limit(1).count() == 0:
             raise ValueError(f"{path}: no top module")
         self.tables |= {"netlist_ports": t["port"].select("src_id", F.col("direction").alias("dir"), F.col("port").alias("name")), "netlist_insts": t["inst"].select("src_id", "ord", "cell", F.col("inst").alias("name")), "netlist_conns": t["conn"], "netlist": t["module"].withColumnRenamed("module", "top")}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +43,24 @@ def scan(files: DataFrame) -> dict[str, DataFrame]:
     conns = _bits(cells.select("src_id", "ord", "inst", F.explode("connections").alias("pin", "bits")), "pin").filter(F.col("bit").rlike(NET))
     conns = conns.join(label, ["src_id", "bit"], "left").select("src_id", "inst", F.col("label").alias("pin"), F.coalesce("net", F.concat(F.lit("$n"), "bit")).alias("net"))
     return {"module": t.select("src_id", "module"), "port": port_bits.select("src_id", F.col("label").alias("port"), "direction"), "inst": cells.select("src_id", "ord", "inst", "cell"), "conn": conns}
+
+
+def errors(files: DataFrame) -> DataFrame:
+    """src_id, line, column and message of the files whose text is no JSON; scan() gives nothing for them.
+
+    Only texts that the JVM's reader refuses go to Python, which tells the place."""
+    bad = files.filter(F.col("text").isNotNull() & F.try_parse_json("text").isNull()).select("src_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for src, text in zip(b.column("src_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                try:
+                    json.loads(text)
+                    rows.append((src, 0, 0, "numbers or names beyond what is read"))
+                except json.JSONDecodeError as e:
+                    rows.append((src, e.lineno, e.colno, e.msg))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["src_id", "line", "col", "message"])
+
+    return bad.mapInArrow(run, "src_id long, line int, col int, message string")

@@ -67,3 +67,8 @@ def test_module_links_by_case_and_escape(spark):
     nodes, links = H.module_links(m, i, x)
     assert {r["name"] for r in nodes.collect()} == {"Top", "sub", "INV", "Cell"}
     assert {tuple(r) for r in links.collect()} == {(2, 1), (3, 4)}
+
+
+def test_nodes_with_several_parents_are_told(spark):
+    links = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (4, 2), (None, 2), (5, None)], "child long, parent long")
+    assert [tuple(r) for r in H.several_parents(links).collect()] == [(1, 2)]

@@ -94,6 +94,12 @@ def test_coverage_and_composition_of_the_design(spark, files):
         C.composition({})
 
 
+def test_broken_json_is_told_with_its_place(spark, tmp_path):
+    (tmp_path / "cut.json").write_text('{"modules": {\n  "t": {"ports": {},, }}}')
+    with pytest.raises(ValueError, match="line 2, column"):
+        DesignSession(spark).load(str(tmp_path / "cut.json"))
+
+
 def test_calls(capsys):
     assert main(["inspect"]) == 2 and main(["version"]) == 0 and main([]) == 0 and main(["--help"]) == 0 and main(["nonsense", "x"]) == 2 and main(["check", "--odd", "x"]) == 2
     capsys.readouterr()
