@@ -16,7 +16,7 @@ SCHEMA = (
 
 def words(text: str) -> list[str]:
     """Tokens without comments; an escaped name is one token and loses its backslash."""
-    return [m[1] or m[2] or m[3] for m in _TOKEN.finditer(text) if m[1] or m[2] or m[3]]
+    return [a or b or c for a, b, c in _TOKEN.findall(text) if a or b or c]
 
 
 def _name(w: str) -> bool:
@@ -56,15 +56,18 @@ class _Module:
 
     def group(self) -> list[str]:
         """The tokens of the parentheses that open here."""
-        self.next()
-        depth, inner = 1, []
-        while self.at < len(self.w):
-            t = self.next()
-            depth += (t == "(") - (t == ")")
-            if not depth:
-                break
-            inner.append(t)
-        return inner
+        w, start, depth = self.w, self.at + 1, 1
+        for k in range(start, len(w)):
+            t = w[k]
+            if t == ")":
+                depth -= 1
+                if not depth:
+                    self.at = k + 1
+                    return w[start:k]
+            elif t == "(":
+                depth += 1
+        self.at = len(w)
+        return w[start:]
 
     def declare(self, kind: str, names: list[str], span: tuple[int, int] | None) -> None:
         for n in names:
@@ -110,6 +113,10 @@ class _Module:
 
     def bits(self, expr: list[str]) -> list[str]:
         """The nets of a connection, most significant first. Replications are not expanded: their braces are taken off."""
+        if len(expr) == 1:  # most connections
+            t = expr[0]
+            span = self.range.get(t)
+            return [] if t in "{}," else bus(t, *span) if span and span[0] != span[1] else [t]
         sub, out = _Module(expr), []
         while sub.peek():
             t = sub.next()
@@ -211,11 +218,15 @@ def modules(text: str) -> list[_Module]:
     w, out, at = words(text), [], 0
     while at < len(w):
         if w[at] != "module":
-            at += 1
+            try:
+                at = w.index("module", at)
+            except ValueError:
+                break
             continue
-        end = at + 1
-        while end < len(w) and w[end] != "endmodule":
-            end += 1
+        try:
+            end = w.index("endmodule", at + 1)
+        except ValueError:
+            end = len(w)
         m = _Module(w[at + 1 : end])
         m.header()
         m.body()
