@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.core import canon, read
+from netquarry.core import canon, materialise, read
 from netquarry.functions import names as N
 from netquarry.operators import parasitics as R
 from netquarry.operators.library import lookup
@@ -25,7 +25,7 @@ def _verilog_conns(li: DataFrame) -> DataFrame:
     li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     inst = F.format_string("  P%d u%d_%d_%d (.A(a[%d]), .B(1'b0), .Y(\\n%d.y ), .C({a[7:6], b}));", "l_partkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linenumber") % 8, "l_suppkey")
     files = _join(li, "l_orderkey", inst, "l_linenumber", "/* P9 x(.A(b)); */ module m (input [7:0] a, input b); // head\n", "\nendmodule\n")
-    p = units_of_text.scan(files, verilog.parse, verilog.SCHEMA)
+    p = materialise(units_of_text.scan(files, verilog.parse, verilog.SCHEMA), "parsed")
     conns, insts = units_of_text.table(p, "conns"), units_of_text.table(p, "insts")
     j = conns.select("src_id", "inst", "pin", "net").join(insts.select("src_id", F.col("ord").cast("long").alias("inst"), "cell", "name"), ["src_id", "inst"])
     return j.select(F.col("src_id").alias("l_orderkey"), "cell", "name", "pin", "net")
@@ -129,7 +129,7 @@ def lef_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     mc = p.withColumn("l", F.format_string("MACRO m%d\n  SIZE %d BY 2.5 ;\n  PIN A\n    DIRECTION INPUT ;\n    PORT\n      LAYER x ;\n      RECT 0 0 1 1 ;\n    END\n  END A\nEND m%d", "p_partkey", "p_size", "p_partkey"))
     rows = ly.select("p_brand", F.concat(F.lit("0"), "p_type").alias("o"), "l").unionByName(mc.select("p_brand", F.concat(F.lit("1"), S("p_partkey")).alias("o"), "l"))
     brands = rows.select(F.col("p_brand"), F.xxhash64("p_brand").alias("b"), "o", "l")
-    parsed = units_of_text.scan(_join(brands, "b", F.col("l"), "o", "VERSION 5.8 ;\n", "\nEND LIBRARY\n"), lef.parse, lef.SCHEMA)
+    parsed = materialise(units_of_text.scan(_join(brands, "b", F.col("l"), "o", "VERSION 5.8 ;\n", "\nEND LIBRARY\n"), lef.parse, lef.SCHEMA), "parsed")
     one = brands.select(F.col("b").alias("src_id"), "p_brand").distinct()
     m = units_of_text.table(parsed, "macros").groupBy("src_id").agg(F.count("*").alias("n_macros"), F.sum("width").alias("width"))
     pins = units_of_text.table(parsed, "pins").groupBy("src_id").agg(F.count_if(F.col("direction") == "input").alias("n_inputs"))
@@ -142,7 +142,7 @@ def def_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 100).alias("v"))
     line = F.format_string("- o%d ( u%d A ) ( PIN p ) + USE SIGNAL + NONDEFAULTRULE wide + ROUTED met1 ( 1000 2000 ) ( %d * ) ( * %d ) via1_2 ;", "o_orderkey", "o_custkey", 2000 + F.col("v"), 3000 + F.col("v"))
     files = _join(o, "o_custkey", line, "o_orderkey", "DESIGN d ;\nUNITS DISTANCE MICRONS 2000 ;\nNONDEFAULTRULES 1 ;\n- wide + LAYER met1 WIDTH 400 ;\nEND NONDEFAULTRULES\nNETS 1 ;\n", "\nEND NETS\nEND DESIGN\n")
-    p = units_of_text.scan(files, layout.parse, layout.SCHEMA)
+    p = materialise(units_of_text.scan(files, layout.parse, layout.SCHEMA), "parsed")
     s = layout.segment_facts(layout.widths(units_of_text.table(p, "segs").drop("ord"), units_of_text.table(p, "rules").drop("ord")))
     return s.groupBy("net").agg(F.count("*").alias("n_segs"), F.round(F.sum("len_um"), 6).alias("len_um"), F.count_if("is_horizontal").alias("n_horizontal"), F.round(F.sum((F.col("fx1") - F.col("fx0")) * (F.col("fy1") - F.col("fy0"))), 6).alias("area"))
 
@@ -151,7 +151,7 @@ def _def_pins_oriented(p: DataFrame) -> DataFrame:
     """Parts as placed pins in all eight orientations."""
     o = F.element_at(F.array(*[F.lit(x) for x in ("N", "S", "W", "E", "FN", "FS", "FW", "FE")]), (F.col("p_partkey") % 8 + 1).cast("int"))
     line = F.format_string("- p%d + NET n%d + DIRECTION INPUT + USE POWER + LAYER met2 ( -10 0 ) ( %d 40 ) + PLACED ( %d 500 ) %s ;", "p_partkey", "p_partkey", "p_size", F.col("p_partkey") * 10, o)
-    parsed = units_of_text.scan(_join(p, "p_size", line, "p_partkey", "PINS 1 ;\n", "\nEND PINS\n"), layout.parse, layout.SCHEMA)
+    parsed = materialise(units_of_text.scan(_join(p, "p_size", line, "p_partkey", "PINS 1 ;\n", "\nEND PINS\n"), layout.parse, layout.SCHEMA), "parsed")
     return layout.placed(units_of_text.table(parsed, "pins").drop("ord"), units_of_text.table(parsed, "pin_rects").drop("ord")).select("pin", "x1", "y1", "x2", "y2")
 
 
@@ -167,7 +167,7 @@ def _liberty_cells(p: DataFrame) -> DataFrame:
         "p_partkey", "p_size", F.col("p_partkey") % 4, "p_size", "p_size", "p_size", F.col("p_size") + 5,
     )
     files = _join(p.withColumn("b", F.xxhash64("p_brand")), "b", cell, "p_partkey", 'library (l) {\n nom_voltage : 1.2;\n leakage_power_unit : "1nW"; capacitive_load_unit (1, pf);\n', "\n}\n")
-    parsed = units_of_text.scan(files, liberty.parse, liberty.SCHEMA)
+    parsed = materialise(units_of_text.scan(files, liberty.parse, liberty.SCHEMA), "parsed")
     c, a = units_of_text.table(parsed, "cells"), units_of_text.table(parsed, "arcs")
     t = a.select("src_id", "cell", lookup("cell_rise.index_1", "cell_rise.index_2", "cell_rise.values", F.lit(5.0), F.lit(0.5)).alias("delay"))
     return c.join(t, ["src_id", "cell"]).select("cell", "area", F.round(F.col("leakage_w") * 1e9, 6).alias("leakage_nw"), "is_seq", "cell_footprint", F.array_join("async_reset_pins", ",").alias("resets"), F.round("delay", 6).alias("delay"))
@@ -183,7 +183,7 @@ def spice_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     sub = r.select(F.lit(1).alias("k"), F.col("r_regionkey").alias("o"), F.format_string(".subckt R%d a b\nM1 a n1 b vss nch w=1u\n+ l=60n ; x\nR1 n1 0 1k\nX9 a b vss vss my_pfet\n.ends", "r_regionkey").alias("l"))
     call = n.select(F.lit(1).alias("k"), (F.col("n_nationkey") + 100).alias("o"), F.format_string("X%d in%d out R%d", "n_nationkey", "n_nationkey", "n_regionkey").alias("l"))
     files = _join(sub.unionByName(call), "k", F.col("l"), "o", "* title\n.global vss\n")
-    p = units_of_text.scan(files, spice.parse, spice.SCHEMA)
+    p = materialise(units_of_text.scan(files, spice.parse, spice.SCHEMA), "parsed")
     s, d = units_of_text.table(p, "subckts"), units_of_text.table(p, "devices")
     got = spice.flatten(s.select("subckt", "ports"), d.select("subckt", "kind", "name", "nodes", "model", "params"), "", ["vss"])
     return got.select("path", "kind", "name", F.array_join("nodes", " ").alias("nodes"), F.round(F.coalesce(F.try_element_at("params", F.lit("w")), F.try_element_at("params", F.lit("value")), F.lit(0.0)), 9).alias("value"))
