@@ -24,7 +24,7 @@ def joins(df):
     return "SortMergeJoin" in text, "Broadcast" in text
 
 
-@pytest.mark.parametrize("name", ["cell_equivalence", "upsize"])
+@pytest.mark.parametrize("name", ["cell_equivalence", "upsize", "downsize"])
 def test_no_side_that_grows_with_the_cells_is_broadcast(eager, name):
     assert joins(L.classes(Q._cells(eager, SF))) == (True, False)
     assert joins(entry.queries()[name](eager, SF)) == (True, False)
