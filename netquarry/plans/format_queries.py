@@ -115,9 +115,7 @@ def spef_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spef_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned, written, scanned again: the same sums by net."""
     t = spef.scan(spef_lines(spark, sf_dir))
-    w = spef.write(t)
-    lines = w.select(F.lit(2).cast("long").alias("src_id"), F.when(F.col("part") == 2, F.lit(1 << 62) + F.col("no") * (1 << 44) + F.col("k")).when(F.col("part") == 1, F.lit(1 << 40) + F.col("no")).otherwise(F.col("k")).alias("seq"), "line")
-    again = spef.scan(lines)
+    again = spef.scan(spef.placed(spef.write(t), 2))
     g = again["gcap"].groupBy("net").agg(F.sum("c").alias("g"))
     return again["net"].join(g, "net", "left").select("net", "cap_ff", F.col("g").alias("gcap_ff"))
 

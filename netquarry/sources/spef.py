@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.core import materialise, numbered, salted_join
+from netquarry.core import materialise, numbered, release, salted_join
 from netquarry.functions.names import unescape
 from netquarry.operators.activity import carried
 
@@ -38,15 +38,17 @@ def scan(lines: DataFrame) -> dict[str, DataFrame]:
     w = w.withColumn("kw", F.upper(F.col("w")[0]))
     names = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
     # what is carried is read several times, so each stage is written once
-    w = materialise(w.withColumn("_s", F.try_element_at(names, F.col("kw"))), "words")
+    words = materialise(w.withColumn("_s", F.try_element_at(names, F.col("kw"))), "words")
     opens = F.col("_s").isin("net", "r_net", "pnet") | (F.col("kw") == "*END")
-    w = materialise(carried(w, ["src_id"], "seq", F.col("_s"), "sect"), "sections")
-    w = carried(w, ["src_id"], "seq", F.when(opens, F.when(F.col("_s") == "net", F.concat(F.lit("="), F.get("w", F.lit(1)), F.lit(" "), F.col("seq").cast("string"))).otherwise("")), "block")
+    sections = materialise(carried(words, ["src_id"], "seq", F.col("_s"), "sect"), "sections")
+    release(words)
+    w = carried(sections, ["src_id"], "seq", F.when(opens, F.when(F.col("_s") == "net", F.concat(F.lit("="), F.get("w", F.lit(1)), F.lit(" "), F.col("seq").cast("string"))).otherwise("")), "block")
+    w = materialise(w, "spef")
+    release(sections)
     unit = F.when(F.col("kw") == "*C_UNIT", "c").when(F.col("kw") == "*R_UNIT", "r")
     scale = F.create_map(*[F.lit(x) for x in ("FF", 1.0, "PF", 1e3, "NF", 1e6, "OHM", 1.0, "KOHM", 1e3, "MOHM", 1e6)])
     u = w.filter(unit.isNotNull()).select("src_id", "seq", unit.alias("u"), (F.coalesce(value(F.get("w", F.lit(1))), F.lit(1.0)) * F.coalesce(F.try_element_at(scale, F.upper(F.get("w", F.lit(2)))), F.lit(1.0))).alias("f"))
     u = u.groupBy("src_id").agg(F.max_by(F.when(F.col("u") == "c", F.col("f")), F.when(F.col("u") == "c", F.col("seq"))).alias("fc"), F.max_by(F.when(F.col("u") == "r", F.col("f")), F.when(F.col("u") == "r", F.col("seq"))).alias("fr"))
-    w = materialise(w, "spef")
     g = lambda k: F.get("w", F.lit(k))
     mapped = w.filter((F.col("sect") == "map") & F.col("_s").isNull() & g(0).rlike(r"^\*[0-9]+$") & (F.size("w") > 1))
     mapped = mapped.groupBy("src_id", F.expr("substring(w[0], 2)").alias("num")).agg(F.max_by(unescape(g(1)), "seq").alias("name"))
@@ -156,3 +158,9 @@ def write(tables: dict[str, DataFrame], design: str = "top") -> DataFrame:
         d = d.withColumn("i", i).select("no", (F.lit(sect * big) + F.col("i")).alias("k"), (F.col("line") if sect == 1 else F.concat(F.col("i").cast("string"), F.lit(" "), F.col("line"))).alias("line"))
         body = body.unionByName(d)
     return out.unionByName(body.select(F.lit(2).alias("part"), "no", "k", "line"))
+
+
+def placed(written: DataFrame, src_id: int) -> DataFrame:
+    """What write() gives as scan() reads it: src_id, seq, line. The lines are numbered in their order, so there may be any number of nets
+    and of lines a net, and blocks of seq are full."""
+    return numbered(written, ["part", "no", "k"], "seq").select(F.lit(src_id).cast("long").alias("src_id"), "seq", "line")

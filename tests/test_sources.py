@@ -322,6 +322,16 @@ def test_parasitics_file(spark):
     assert seen[0] == seen[1]
 
 
+def test_written_parasitics_of_any_number_of_nets_are_read_again(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from netquarry import core
+    from tests.compare import compare
+
+    # nets numbered as behind 300,000 others: more than a number with a fixed share for each net's lines can hold
+    monkeypatch.setattr(spef, "numbered", lambda df, by, name="n", start=1: core.numbered(df, by, name, start + 300_000 * (name == "no")))
+    assert compare(spark, "/root/testdata/sf0.001", "spef_roundtrip", entry.queries()["spef_roundtrip"], entry.oracle_sql()["spef_roundtrip"]) is None
+
+
 def test_tree_delays(spark):
     from netquarry.operators import parasitics as R
 
