@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.core import broadcast_if_small, materialise, salted_join
+from netquarry.core import broadcast_if_small, materialise, salted_join, sorted_side
 
 # Words that streets end in or begin with, and forms of phone and identity numbers in use.
 STREET = "Street|St\\.|St|Road|Rd\\.|Rd|Avenue|Ave\\.|Ave|Lane|Ln\\.|Ln|Drive|Dr\\.|Dr|Court|Ct\\.|Ct|Way|Boulevard|Blvd\\.|Blvd|Parkway|Pkwy|Close|Crescent|Terrace|Place|Square|Highway|Hwy|Gardens|Grove|Mews|Row|Hill|Walk|Alley"
@@ -392,7 +392,7 @@ def redact(documents: DataFrame, thresholds: dict[str, float] | None = None) ->
     corpus ties to mailboxes, is generalised to [PERSON].
 
     The judged words and cues are held by every task and the texts are scanned again, so no text is shuffled. If there are more than
-    MOST_JUDGED of them, those that the documents of a task hold are joined to the texts instead."""
+    MOST_JUDGED of them, each text gets those that it holds by a join; the result is the same."""
     spark, least = documents.sparkSession, dict(thresholds or THRESHOLDS)
     c = proposed(documents)
     words = materialise(word_bits(c), "words")
@@ -400,7 +400,7 @@ def redact(documents: DataFrame, thresholds: dict[str, float] | None = None) ->
     cues = materialise(cue_bits(c), "cues")
     strong = words.filter(F.abs("bits") > 0)
     if strong.count() + cues.count() > MOST_JUDGED:
-        return _redact_joined(documents, c, cues, thresholds)
+        return _redact_joined(documents, strong, cues, least)
     held = spark.sparkContext.broadcast(({r["word"]: r["bits"] for r in strong.collect()}, {(r["pii_kind"], r["cue"]): r["cue_bits"] for r in cues.collect()}))
     at = documents.columns.index("text")
 
@@ -413,20 +413,36 @@ def redact(documents: DataFrame, thresholds: dict[str, float] | None = None) ->
     return documents.mapInArrow(run, documents.schema)
 
 
-def _redact_joined(documents: DataFrame, c: DataFrame, cues: DataFrame, thresholds: dict[str, float] | None) -> DataFrame:
-    """The exact way for more judged words and cues than a task should hold: the spans are joined to their texts."""
-    f = judged(c, cues).filter(_passes(thresholds)).groupBy("doc_id", "pii_kind", "at").agg(F.max(F.char_length("found_text")).alias("n"))
-    f = f.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "pii_kind"))).alias("_spans"))
+def _terms(text: str) -> set[tuple[str, str]]:
+    """What _replaced() looks up for a text: (kind, cue), and ("", word)."""
+    out = {("", fold(m.group())) for m in _ALONE.finditer(text)}
+    for kind, _, _, _, cue, own, _, _ in _rows(text):
+        out.add((kind, cue))
+        if kind == "name":
+            out.update(("", w) for w in own)
+    return out
+
+
+def _redact_joined(documents: DataFrame, words: DataFrame, cues: DataFrame, least: dict[str, float]) -> DataFrame:
+    """The way for more judged words and cues than a task should hold: those that a text holds are joined to it. Texts are known by their
+    content, so documents without a number, or with that of another, are redacted too."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(key, *term) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if text for term in _terms(text)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in cols], names=["_text", "kind", "term"])
 
     @F.udf("string", useArrow=True)
     def put(text: str, found: list):
-        if not text or found is None or not len(found):
+        if not text:
             return text
-        out, last = [], 0
-        for s in found:
-            if s["at"] >= last:
-                out += [text[last : s["at"]], "[", s["pii_kind"].upper(), "]"]
-                last = s["at"] + s["n"]
-        return "".join([*out, text[last:]])
-
-    return documents.join(f, "doc_id", "left").withColumn("text", put("text", "_spans")).drop("_spans")
+        own = {x["term"]: x["bits"] for x in found or [] if not x["kind"]}
+        return _replaced(text, own, {(x["kind"], x["term"]): x["bits"] for x in found or [] if x["kind"]}, least)
+
+    keyed = documents.withColumn("_text", F.sha2("text", 256))
+    known = words.select(F.lit("").alias("kind"), F.col("word").alias("term"), "bits").unionByName(cues.select(F.col("pii_kind").alias("kind"), F.col("cue").alias("term"), F.col("cue_bits").alias("bits")))
+    terms = keyed.select("_text", "text").mapInArrow(held, "_text string, kind string, term string").distinct()
+    terms = salted_join(terms, sorted_side(known), ["kind", "term"], by=F.col("_text"))
+    terms = terms.groupBy("_text").agg(F.collect_list(F.struct("kind", "term", "bits")).alias("_found"))
+    return keyed.join(sorted_side(terms), "_text", "left").withColumn("text", put("text", "_found")).select(*documents.columns)

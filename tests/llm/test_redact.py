@@ -36,6 +36,18 @@ def test_redacted(spark):
     assert out[100] == "// tel: [PHONE]\n" and out[300] == "/* address: [ADDRESS]" and out[401] is None and out[402] == ""
 
 
+def test_redacted_the_same_however_many_words_are_judged(spark, monkeypatch):
+    d = docs()
+    d += [(500, "# as Valdane said, ask Quennick", 0), (0, "// a second text of number 0, by Orla P. Quennick <oquennick@corp.example>", 0), (None, "# Author: Mirko Valdane <mirko.valdane@lab.test>", 0)]
+    d += [(1000 + i, "// Clock Tree Synthesis runs before Static Timing", 0) for i in range(400)]  # of all capitals few are names
+    out = []
+    for most in (R.MOST_JUDGED, 0):
+        monkeypatch.setattr(R, "MOST_JUDGED", most)
+        out.append(sorted(map(tuple, R.redact(spark.createDataFrame(d, DOC)).collect()), key=str))
+    assert out[0] == out[1] and len(out[0]) == len(d)
+    assert (500, "# as [PERSON] said, ask [PERSON]", 0) in out[0] and (None, "# Author: [NAME] <[EMAIL]>", 0) in out[0]
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], DOC)
     assert R.find(e).count() == 0 and R.redact(e).count() == 0
