@@ -29,3 +29,38 @@ def test_no_side_that_grows_with_the_cells_is_broadcast(eager, name):
     assert joins(L.classes(Q._cells(eager, SF))) == (True, False)
     assert joins(entry.queries()[name](eager, SF)) == (True, False)
     assert compare(eager, SF, name, entry.queries()[name], entry.oracle_sql()[name]) is None
+
+
+def one_class(spark, cells=4000, areas=10):
+    """A class of cells with few areas, beside cells that stand for themselves."""
+    rows = [(i, float(i * 7 % areas), "footprint", 0, True, "f:x") for i in range(cells)] + [(cells + i, 1.0, "self", cells + i, False, f"c:{cells + i}") for i in range(50)]
+    return spark.createDataFrame(rows, "cell long, area double, rule string, class_id long, has_footprint boolean, k string")
+
+
+def ran(df):
+    """Rows of the result, and what each node of the plan that ran put out: (name, rows)."""
+    query = df._jdf.queryExecution()
+    rows = [tuple(r) for r in df.collect()]
+    out, left = [], [query.executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            left.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            left.append(node.plan())
+            continue
+        m = node.metrics().get("numOutputRows")
+        out.append((name, m.get().value() if m.isDefined() else 0))
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return rows, out
+
+
+def test_upsize_repeats_no_side_as_long_as_the_cells(spark):
+    cells, areas = 4000, 10
+    rows, nodes = ran(L.upsizes(L.ladder(one_class(spark, cells, areas))))
+    first = [min(i for i in range(cells) if i * 7 % areas == a) for a in range(areas)]
+    assert sorted(rows) == [(i, "footprint", 0, (areas - 1 - i * 7 % areas) * cells // areas, first[i * 7 % areas + 1]) for i in range(cells) if i * 7 % areas < areas - 1]
+    assert max(n for name, n in nodes if name == "Generate") < cells
