@@ -64,3 +64,24 @@ def test_upsize_repeats_no_side_as_long_as_the_cells(spark):
     first = [min(i for i in range(cells) if i * 7 % areas == a) for a in range(areas)]
     assert sorted(rows) == [(i, "footprint", 0, (areas - 1 - i * 7 % areas) * cells // areas, first[i * 7 % areas + 1]) for i in range(cells) if i * 7 % areas < areas - 1]
     assert max(n for name, n in nodes if name == "Generate") < cells
+
+
+def test_downsize_reads_the_cells_once(spark):
+    cells, areas = 4000, 10
+    rows, nodes = ran(L.downsizes(L.ladder(one_class(spark, cells, areas))))
+    first = [min(i for i in range(cells) if i * 7 % areas == a) for a in range(areas)]
+    assert sorted(rows) == [(i, "footprint", 0, i * 7 % areas * cells // areas, first[i * 7 % areas - 1]) for i in range(cells) if i * 7 % areas > 0]
+    assert sum(n for name, n in nodes if name.startswith("Scan parquet")) < 2 * cells
+
+
+def test_ladder_equals_brute_force_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 16)
+    made = one_class(spark, 300, 7).collect() + [(1000 + i, float(i), "function", 1000, False, "s:y") for i in range(100)]
+    schema = "cell long, area double, rule string, class_id long, has_footprint boolean, k string"
+    want = []
+    for c in made:
+        same = sorted((x[1], x[0]) for x in made if x[5] == c[5])
+        more, less = [x for x in same if x[0] > c[1]], sorted((-x[0], x[1]) for x in same if x[0] < c[1])
+        want.append((c[0], same.index((c[1], c[0])) + 1, len(same), len(less), len(more), less[0][1] if less else None, more[0][1] if more else None))
+    got = L.ladder(spark.createDataFrame([tuple(x) for x in made], schema)).select("cell", "place", "n_cells", "n_smaller", "n_larger", "next_smaller", "next_larger")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
