@@ -85,3 +85,40 @@ def test_ladder_equals_brute_force_across_blocks(spark, monkeypatch):
         want.append((c[0], same.index((c[1], c[0])) + 1, len(same), len(less), len(more), less[0][1] if less else None, more[0][1] if more else None))
     got = L.ladder(spark.createDataFrame([tuple(x) for x in made], schema)).select("cell", "place", "n_cells", "n_smaller", "n_larger", "next_smaller", "next_larger")
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def fits(a, b):
+    """Whether two cells (key, footprint, is_seq, area, function) can stand for each other, by the rule for a pair."""
+    if a[1] is not None and b[1] is not None:
+        return a[1] == b[1]
+    return not (a[2] or b[2]) and a[4] is not None and a[4] == b[4]
+
+
+def parts(spark, path, n=240):
+    """Parts with few brands and types, so two thirds of them are one type, and with what may be missing; gives them as cells too."""
+    cells, rows = [], []
+    for i in range(n):
+        brand, kind, size = None if i % 17 == 5 else f"B{i % 2}", None if i % 29 == 7 else "A T" if i % 3 < 2 else f"T{i % 4}", 2 + i % 2 * (i % 5)
+        price = None if i % 19 == 3 else float("nan") if i % 23 == 4 else float(i * 7 % 10)
+        rows.append((i, brand, kind, size, price))
+        cells.append((i, brand + kind if i % 3 == 0 and brand and kind else None, i % 7 == 0, 0.0 if price is None else price, kind + str(size) if size > 2 and kind else None))
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{path}/part.parquet")
+    return cells
+
+
+def candidates(cells, better):
+    return sorted((a[0], "footprint" if a[1] and b[1] else "function", b[0], b[3]) for a in cells for b in cells if fits(a, b) and better(b[3], a[3]))
+
+
+def listed(spark, path, name):
+    rows = entry.queries()[name](spark, str(path)).select("cell", "rule", "candidate", "area").collect()
+    assert compare(spark, str(path), name, entry.queries()[name], entry.oracle_sql()[name]) is None
+    return sorted(tuple(r) for r in rows)
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_downsize_lists_every_smaller_cell_that_fits(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(L, "BLOCK", block)
+    want = candidates(parts(spark, tmp_path), lambda b, a: b < a)
+    assert {r[1] for r in want} == {"footprint", "function"} and len(want) > 500
+    assert listed(spark, tmp_path, "downsize") == want
