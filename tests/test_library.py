@@ -122,3 +122,11 @@ def test_downsize_lists_every_smaller_cell_that_fits(spark, monkeypatch, tmp_pat
     want = candidates(parts(spark, tmp_path), lambda b, a: b < a)
     assert {r[1] for r in want} == {"footprint", "function"} and len(want) > 500
     assert listed(spark, tmp_path, "downsize") == want
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_upsize_lists_every_larger_cell_that_fits(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(L, "BLOCK", block)
+    want = candidates(parts(spark, tmp_path), lambda b, a: b > a)
+    assert {r[1] for r in want} == {"footprint", "function"} and len(want) > 500
+    assert listed(spark, tmp_path, "upsize") == want
